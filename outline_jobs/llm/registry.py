@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from outline_jobs.llm import mixing, url_lists
+from outline_jobs.llm import line_dedup, mixing, url_lists, warc
 
 QUERIES = {
     "op2_pareto_mix": mixing.query,
+    "op4_warc_dictionary": warc.query,
     "op5_temporal_lists": url_lists.query,
+    "op9_line_bitmaps": line_dedup.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
+    "op4_warc_dictionary": warc.ORACLE,
     "op5_temporal_lists": url_lists.ORACLE,
+    "op9_line_bitmaps": line_dedup.ORACLE,
 }
