@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,18 @@ WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: White space as the result contracts have it.
 SPACE = r"[\x20\x09-\x0D]"
 
-_draw = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _draw.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes handled at once; only a longer single word needs more.
+WINDOW = 1 << 20
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +72,17 @@ def word_hashes(text: str | None) -> np.ndarray:
         edge = np.concatenate(([0], edge))
     if len(raw) and inside[-1]:
         edge = np.concatenate((edge, [len(raw)]))
-    start, size = edge[0::2], edge[1::2] - edge[0::2]
-    if not len(start):
-        return np.empty(0, np.uint64)
-    first = np.cumsum(size) - size
-    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
-    return mixed(np.add.reduceat(_BYTE[raw[inside]] * _PLACE[place & 4095], first) + size.astype(np.uint64))
+    start, end = edge[0::2], edge[1::2]
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + WINDOW, "right")))
+        a, b = start[i], end[j - 1]
+        up, down = _powers(WINDOW if b - a <= WINDOW else int(b - a))
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+        out[i:j] = (total[end[i:j] - a] - total[start[i:j] - a]) * down[start[i:j] - a]
+        i = j
+    return mixed(out)
 
 
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from outline_jobs.llm import line_dedup, mixing, url_lists, warc
+from outline_jobs.llm import line_dedup, mixing, ngram_join, url_lists, warc, weighted_sampling
 
 QUERIES = {
+    "op1_weighted_sampling": weighted_sampling.query,
     "op2_pareto_mix": mixing.query,
     "op4_warc_dictionary": warc.query,
     "op5_temporal_lists": url_lists.query,
+    "op7_ngram_banding": ngram_join.query,
     "op9_line_bitmaps": line_dedup.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op4_warc_dictionary": warc.ORACLE,
     "op5_temporal_lists": url_lists.ORACLE,
+    "op7_ngram_banding": ngram_join.ORACLE,
     "op9_line_bitmaps": line_dedup.ORACLE,
 }
