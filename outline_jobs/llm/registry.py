@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from outline_jobs.llm import line_dedup, mixing, ngram_join, url_lists, warc, weighted_sampling
+from outline_jobs.llm import decontamination, factorization, line_dedup, mixing, ngram_join, url_lists, warc, weighted_sampling
 
 QUERIES = {
     "op1_weighted_sampling": weighted_sampling.query,
     "op2_pareto_mix": mixing.query,
+    "op3_factorization": factorization.query,
     "op4_warc_dictionary": warc.query,
     "op5_temporal_lists": url_lists.query,
     "op7_ngram_banding": ngram_join.query,
+    "op8_simhash_windows": decontamination.query,
     "op9_line_bitmaps": line_dedup.query,
 }
 ORACLES = {
@@ -17,5 +19,6 @@ ORACLES = {
     "op4_warc_dictionary": warc.ORACLE,
     "op5_temporal_lists": url_lists.ORACLE,
     "op7_ngram_banding": ngram_join.ORACLE,
+    "op8_simhash_windows": decontamination.ORACLE,
     "op9_line_bitmaps": line_dedup.ORACLE,
 }
