@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import shared_dir, table
+from outline_jobs.llm.common import put, shared_dir, table
 
 # Fixed values of the WARC and Zstandard formats.
 DICT_FRAME = 0x184D2A5D
@@ -97,19 +97,6 @@ def file_bytes(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(parts), places
 
 
-def put(folder: str, name: str, content: bytes) -> None:
-    """Writes a file of the shared folder under its name in one move."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    task = TaskContext.get()
-    part = f"{root}/_{name}.{task.taskAttemptId() if task else 0}"
-    with store.open_output_stream(part) as f:
-        f.write(content)
-    store.move(part, f"{root}/{name}")
-
-
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes the archives and returns their index as written beside them: key, file, offset, length."""
     rows = decided(pages, min_bytes).sortWithinPartitions("key", "digest")
