@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import table
+from outline_jobs.llm.common import table, written
 
 
 def lines_of(text: Column) -> Column:
@@ -37,9 +37,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     """doc_id, _tie (a hash of the text) and the sorted positions of the lines that go."""
     line = docs.select("doc_id", F.xxhash64("text").alias("_tie"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     key = line.select("doc_id", "_tie", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    seen = key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "_tie", "pos")
+    # Written once: choosing the borders of the ranges reads it again.
+    seen = written(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "_tie", "pos"), "line-hashes")
     ranged = seen.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "_tie", "pos")
-    ranged = ranged.withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged.withColumn("_range", F.spark_partition_id()), "line-ranges")
     run = Window.partitionBy("_range", "h1", "h2")
     first = F.lag(F.struct("doc_id")).over(run.orderBy("doc_id", "_tie", "pos")).eqNullSafe(F.struct("doc_id"))
     streamed = ranged.withColumn("_new", (~first).cast("int"))
