@@ -47,7 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
         "_left": F.sum("source_size").over(every) - F.coalesce(F.sum(most * F.col("source_size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_over": F.sum("_w").over(by.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("_level", F.col("_left") / F.col("_over"))
-    found = level.withColumn("_found", F.min(F.when(most * F.col("source_size") / F.col("_w") >= F.col("_level"), F.col("_level"))).over(every))
+    # The levels rise while sources are capped below their share and fall after that: the right one is the highest.
+    found = level.withColumn("_found", F.max("_level").over(every))
     return found.select("source", "source_size", F.least(most * F.col("source_size").cast("double"), F.coalesce("_found", F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
@@ -56,21 +57,28 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """All rows of docs without their text, with size, source_size, target, copies and taken (copies * size)."""
-    kept = [c for c in docs.columns if c not in (text, "size", "source_size", "target", "copies", "taken")]
-    slim = docs.select(*kept, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("_u"), F.xxhash64(text).alias("_tie"))
-    slim = written(slim, "mix-sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, texts: bool = False) -> DataFrame:
+    """All rows of docs, without their text unless asked for, with size, source_size, target, copies and taken (copies * size).
+
+    With texts, the texts are read once more and not shuffled: what is decided is one border for each source.
+    """
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken") and (texts or c != text)]
+    sized = docs.select(*kept, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("_u"), F.xxhash64(text).alias("_tie"))
+    slim = written(sized.select(*dict.fromkeys((key, source, "size", "_u", "_tie"))) if texts else sized, "mix-sizes")
     sums = slim.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     goal = written(targets(sums, weights, most), "mix-targets")
     # One row for each source: broadcast only as far as Spark's own size limit for it allows.
     g = goal.withColumnRenamed("source", "_source")
-    rows = slim.join(g, slim[source].eqNullSafe(g["_source"]), "left").drop("_source")
+    with_targets = lambda d: d.join(g, d[source].eqNullSafe(g["_source"]), "left").drop("_source")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("_whole", F.floor(share + 1e-12)).withColumn("_p", F.greatest(share - F.col("_whole"), F.lit(0.0)))
     rank = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    # rank / (1 + rank) keeps the order and lies in (0, 1), so that it can be cut into bins.
-    rows = rows.withColumn("_rank", F.when(F.col("_p") > 0, rank)).withColumn("_place", F.col("_rank") / (1 + F.col("_rank")))
+
+    def ranked(d: DataFrame) -> DataFrame:
+        d = with_targets(d).withColumn("_whole", F.floor(share + 1e-12)).withColumn("_p", F.greatest(share - F.col("_whole"), F.lit(0.0)))
+        # rank / (1 + rank) keeps the order and lies in (0, 1), so that it can be cut into bins.
+        return d.withColumn("_rank", F.when(F.col("_p") > 0, rank)).withColumn("_place", F.col("_rank") / (1 + F.col("_rank")))
+
+    rows = ranked(slim)
     drawn = rows.where("_p > 0 and size > 0").select(F.col(source).alias("_s"), "size", "_rank", "_place", "_tie", key, (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_need"))
     low, high, before = F.lit(0.0), F.lit(1.0), F.lit(0).cast("long")
     here = drawn.withColumns({"_low": low, "_width": high - low, "_before": before})
@@ -90,6 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
     border = last.groupBy("_s").agg(F.max(F.struct("_rank", key, "_tie")).alias("_last"))
     floor_ = here.groupBy("_s").agg(F.min("_low").alias("_from"))
     border = written(floor_.join(border, floor_["_s"].eqNullSafe(border["_s"]), "left").select(floor_["_s"].alias("_bs"), "_from", "_last", F.lit(True).alias("_cut")), "mix-border")
+    rows = ranked(sized) if texts else rows
     out = rows.join(border, rows[source].eqNullSafe(border["_bs"]), "left")
     # Sources without a border bin are taken whole: their need is not below the sum of all sizes.
     inside = F.when(F.col("_cut").isNull(), True).otherwise(
@@ -99,6 +108,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
     return out.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, in the columns of docs."""
+    return mix(docs, weights, most, texts=True).where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -110,7 +124,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(w) OVER (ORDER BY 3 * source_size / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT *, min(CASE WHEN 3 * source_size / w >= level THEN level END) OVER () AS found FROM l),
+f AS (SELECT *, max(level) OVER () AS found FROM l),
 t AS (SELECT source, source_size, least(3 * source_size::DOUBLE, coalesce(found, 0) * w) AS target FROM f),
 r AS (SELECT d.doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(share + 1e-12)::BIGINT AS whole FROM r),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outline_jobs.llm import decontamination, factorization, line_dedup, mixing, ngram_join, url_lists, warc, weighted_sampling
+from outline_jobs.llm import decontamination, factorization, line_dedup, main_text, mixing, ngram_join, repair, url_lists, warc, weighted_sampling
 
 QUERIES = {
     "op1_weighted_sampling": weighted_sampling.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_factorization": factorization.query,
     "op4_warc_dictionary": warc.query,
     "op5_temporal_lists": url_lists.query,
+    "op6_repair_tokens": repair.query,
     "op7_ngram_banding": ngram_join.query,
     "op8_simhash_windows": decontamination.query,
     "op9_line_bitmaps": line_dedup.query,
+    "op10_main_text": main_text.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,

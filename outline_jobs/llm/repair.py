@@ -29,46 +29,63 @@ from pyspark.sql import functions as F
 from outline_jobs.llm.common import put, shared_dir, table
 
 MAGIC = b"RPR1"
-SHARD_TOKENS, WORDS_KEPT = 1_500_000, 300_000
+SHARD_TOKENS, WORDS_KEPT = 1_500_000, 600_000
 #: Least occurrences of a pair worth a rule, rules for each round, rounds within words and over the sequence.
-LEAST, RULES, WORD_ROUNDS, ROUNDS = 12, 4096, 8, 5
+LEAST, RULES, WORD_ROUNDS, ROUNDS = 12, 4096, 8, 4
 END = 2
 #: White space to Python but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
-SPLITTER = "<|startoftext|>"
+WORD_END = "</w>"
+#: How the tokenizer cuts lower-cased text; a fixed value of its file.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
+#: What keeps a word from being cut here: other than Latin letters, numbers that are no digits, special tokens.
+WHOLE = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]|<\\|")
 
 
 class Encoder:
-    """Ids of words, each distinct word encoded once."""
+    """Ids of words, each distinct word encoded once.
+
+    A new word is cut as the tokenizer cuts it (lower case, then PIECES) and only pieces not met before go through the
+    library, a hundred as one text. Words with other than Latin letters go through it whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.splitter = self.tokenizer.token_to_id(SPLITTER)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.pieces: dict[str, np.ndarray] = {}
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {"": 0}  # the empty word stands for the end of a document
         self.ids: list[np.ndarray] = [np.array([END])]
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces = {}
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words as one text, cut by a special token."""
-        plain = [w for w in words if "<|" not in w]
-        found = np.array(self.tokenizer.encode(SPLITTER.join(plain), add_special_tokens=False).ids) if plain else np.empty(0, int)
-        parts = np.split(found, np.flatnonzero(found == self.splitter))
-        for w, ids in zip(plain, [parts[0], *(p[1:] for p in parts[1:])]):
+        cut = {w: PIECES.findall(w.lower()) if not WHOLE.search(w) else None for w in words}
+        new = list(dict.fromkeys(x for found in cut.values() if found for x in found if x not in self.pieces))
+        lines = [new[i : i + 100] for i in range(0, len(new), 100)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
+            # Each piece ends with an id that ends a word.
+            parts = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
+            if len(parts) != len(line):
+                parts = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in line]
+            self.pieces.update(zip(line, parts))
+        for w, found in cut.items():
             self.known[w] = len(self.ids)
-            self.ids.append(ids)
-        for w in words:
-            if "<|" in w:
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, int))
+            if found is None:
+                self.ids.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32))
+            else:
+                self.ids.append(self.pieces[found[0]] if len(found) == 1 else np.concatenate([self.pieces[x] for x in found]))
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """For every text the places of its words in ids, the end last. A text with odd white space is one word."""
         split = [[t] if ODD.search(t) else t.split() for t in texts]
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.known]
+        new = [w for w in set().union(*split) if w not in self.known]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
         get = self.known.__getitem__
@@ -82,25 +99,41 @@ def encoder(path: str) -> Encoder:
 
 def chosen(keys: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
     """The most frequent pair keys, sorted by key."""
-    own, back = np.unique(keys, return_inverse=True)
-    count = np.bincount(back, weights)
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.intp)
+    count = np.diff(first, append=len(keys)) if weights is None else np.add.reduceat(weights, first) if len(first) else first
     good = np.flatnonzero(count >= LEAST)
     if len(good) > RULES:
         good = good[np.argpartition(-count[good], RULES)[:RULES]]
-    return own[np.sort(good)]
-
-
-def replaced(symbols: np.ndarray, joined: np.ndarray, pairs: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replaces the pairs from left to right; joined: places i that may pair with i + 1. (symbols, kept places, rules used)."""
-    at = joined[np.isin(keys_of(symbols, joined), pairs)]
-    if len(at):
-        run = np.concatenate(([True], np.diff(at) > 1))
-        start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-        at = at[(at - start) % 2 == 0]
-    rule = np.searchsorted(pairs, keys_of(symbols, at))
-    used = np.unique(rule)
+    return keys[first[np.sort(good)]]
+
+
+def bins_of(keys: np.ndarray) -> np.ndarray:
+    """20 bits of a pair's key."""
+    return ((keys >> 32) * 0x9E3779B1 + (keys & 0xFFFFFFFF) * 0x85EBCA77) & 0xFFFFF
+
+
+def replaced(symbols: np.ndarray, joined: np.ndarray, keys: np.ndarray, bins: np.ndarray, pairs: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replaces the pairs from left to right; joined, keys, bins: places i that may pair with i + 1. (symbols, kept places, rules used)."""
+    marked = np.zeros(1 << 20, bool)
+    marked[bins_of(pairs)] = True
+    near = np.flatnonzero(marked[bins])
+    rule = np.minimum(np.searchsorted(pairs, keys[near]), len(pairs) - 1)
+    right = pairs[rule] == keys[near]
+    at, rule = joined[near[right]], rule[right]
+    run = np.concatenate(([True], np.diff(at) > 1))
+    start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
+    even = (at - start) % 2 == 0
+    at, rule = at[even], rule[even]
+    place = np.zeros(len(pairs), np.int64)
+    place[rule] = 1
+    used = np.flatnonzero(place)
     out = symbols.copy()
-    out[at] = first + np.searchsorted(used, rule)
+    out[at] = first + (np.cumsum(place) - 1)[rule]
     kept = np.ones(len(symbols), bool)
     kept[at + 1] = False
     return out[kept], kept, pairs[used]
@@ -122,10 +155,11 @@ def compress(words: list[np.ndarray], ids: list[np.ndarray], first_rule: int) ->
     next_rule = first_rule
     for _ in range(WORD_ROUNDS):
         joined = np.flatnonzero((word[:-1] == word[1:]) & (symbols[:-1] != END) & (symbols[1:] != END))
-        pairs = chosen(keys_of(symbols, joined), count[word[joined]])
+        keys = keys_of(symbols, joined)
+        pairs = chosen(keys, count[word[joined]])
         if not len(pairs):
             break
-        symbols, kept, used = replaced(symbols, joined, pairs, next_rule)
+        symbols, kept, used = replaced(symbols, joined, keys, bins_of(keys), pairs, next_rule)
         word = word[kept]
         rules.append(used)
         next_rule += len(used)
@@ -136,14 +170,16 @@ def compress(words: list[np.ndarray], ids: list[np.ndarray], first_rule: int) ->
     per_doc = np.add.reduceat(n, np.cumsum([0, *map(len, words)])[:-1])
     doc = np.repeat(np.arange(len(words)), per_doc)
     for _ in range(ROUNDS):
-        inner = (symbols[:-1] != END) & (symbols[1:] != END)
+        joined = np.flatnonzero((symbols[:-1] != END) & (symbols[1:] != END))
+        keys = keys_of(symbols, joined)
+        bins = bins_of(keys)
         # A pair's bin counts at least as often as the pair: most pairs drop out before they are sorted.
-        bins = (symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA77) & 0xFFFFF
-        joined = np.flatnonzero(inner & (np.bincount(bins, minlength=1 << 20)[bins] >= max(LEAST, len(symbols) >> 15)))
-        pairs = chosen(keys_of(symbols, joined), None)
+        often = np.bincount(bins, minlength=1 << 20)[bins] >= max(LEAST, len(symbols) >> 15)
+        joined, keys, bins = joined[often], keys[often], bins[often]
+        pairs = chosen(keys, None)
         if not len(pairs):
             break
-        symbols, kept, used = replaced(symbols, joined, pairs, next_rule)
+        symbols, kept, used = replaced(symbols, joined, keys, bins, pairs, next_rule)
         doc = doc[kept]
         rules.append(used)
         next_rule += len(used)
