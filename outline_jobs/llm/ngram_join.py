@@ -132,7 +132,8 @@ def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pair
         for b in batches:
             yield b[["root", "rep", "blocks", "block"]].assign(grams=[np.unique(shingle_hashes(word_hashes(x), n)).tobytes() for x in b["text"]])
 
-    found = docs.select("doc_id", "text").join(m, F.col("doc_id") == F.col("rep")).select("root", "rep", "blocks", "block", "text")
+    # A merge join at every size: the plan, and so its growth, doesn't change where one side happens to be small.
+    found = docs.select("doc_id", "text").join(m.hint("merge"), F.col("doc_id") == F.col("rep")).select("root", "rep", "blocks", "block", "text")
     found = found.mapInPandas(sets, "root long, rep long, blocks int, block int, grams binary")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = found.select("root", "rep", "block", "grams", F.explode(every).alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams")
@@ -208,7 +209,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFram
     """docs without all but the smallest doc_id of each class; rows equal in doc_id count as one."""
     found = near_copies(docs, threshold, n)
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     return kept.dropDuplicates(["doc_id"]) if found.groupBy("doc_id").count().where("count > 1").take(1) else kept
 
 
