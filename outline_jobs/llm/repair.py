@@ -290,13 +290,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             put(folder, name, packed(symbols, rules, size, keys, n_symbols, n_ids))
             out = pd.DataFrame([(part, shard, name, keys[0], len(keys), sum(n_ids))], columns=names)
             shard, keys, words, held = shard + 1, [], [], 0
-            if len(enc.ids) > WORDS_KEPT:
-                enc.reset()
             return out
 
         for batch in batches:
             for i in range(0, len(batch), 200):
                 few = batch.iloc[i : i + 200]
+                if len(enc.ids) > WORDS_KEPT:  # what is held refers to the words known so far
+                    if keys:
+                        yield flush()
+                    enc.reset()
                 for key, w in zip(few["doc_id"], enc.words(list(few["text"]))):
                     keys.append(-1 if pd.isna(key) else int(key))
                     words.append(w)
