@@ -174,7 +174,7 @@ _ALL = {
     "flag_duplicate_labels": (_flags("duplicate_label"), _FLAGS["duplicate_label"], False),
     "flag_empty_sections": (_flags("empty_section"), _FLAGS["empty_section"], False),
     "flag_ocr_nodes": (_flags("ocr_derived"), _FLAGS["ocr_derived"], False),
-    "line_dump": (lambda s, d: op.line_dump(stages(s, d)["lines"]), "SELECT doc_id, line_idx, lpad(CAST(line_idx AS VARCHAR), greatest(5, length(CAST(line_idx AS VARCHAR))), ' ') || ' p' || page || ' ' || CASE WHEN from_ocr THEN 'OCR ' ELSE '' END || '| ' || text AS dump FROM lines", False),
+    "line_dump": (lambda s, d: op.line_dump(stages(s, d)["lines"]), "SELECT doc_id, line_idx, lpad(CAST(line_idx AS VARCHAR), greatest(5, length(CAST(line_idx AS VARCHAR)))::INT, ' ') || ' p' || page || ' ' || CASE WHEN from_ocr THEN 'OCR ' ELSE '' END || '| ' || text AS dump FROM lines", False),
     "outline_listing": (lambda s, d: op.outline_listing(stages(s, d)["nodes"]), "SELECT doc_id, ord, repeat('  ', depth) || trim(label || ' ' || title) || '  [d' || depth || ', ' || length(text) || '字, ' || coalesce('p' || page_start, '-') || ']' || CASE WHEN from_ocr THEN ' [OCR]' ELSE '' END AS listing FROM nodes", False),
 }
 
