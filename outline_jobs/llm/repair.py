@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,12 @@ from outline_jobs.llm.common import put, shared_dir, table
 MAGIC = b"RPR1"
 SHARD_TOKENS, WORDS_KEPT = 1_500_000, 600_000
 #: Least occurrences of a pair worth a rule, rules for each round, rounds within words and over the sequence.
-LEAST, RULES, WORD_ROUNDS, ROUNDS = 12, 4096, 8, 4
+LEAST, RULES, WORD_ROUNDS, ROUNDS = 12, 8192, 5, 2
 END = 2
 #: White space to Python but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
+#: Letters, digits and white space of Latin-1.
+PLAIN = bytes(b for b in range(256) if chr(b) in " \t\n\r" or chr(b).isalnum() and (b < 128 or b >= 0xC0))
 WORD_END = "</w>"
 #: How the tokenizer cuts lower-cased text; a fixed value of its file.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
@@ -42,6 +45,27 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
 WHOLE = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]|<\\|")
 
 
+def split_text(t: str) -> list[str]:
+    """Words at whose ends the tokenizer cuts: by white space, and in plain texts also by full stops and commas, as long as none are neighbours."""
+    try:
+        signs = t.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return [t] if ODD.search(t) else t.split()
+    if not signs.translate(None, b".,") and not any(x in t for x in ("..", ".,", ",.", ",,")):
+        return t.lower().replace(".", " . ").replace(",", " , ").split()
+    return [t] if any(x in signs for x in (28, 29, 30, 31)) else t.split()
+
+
+def cut_word(w: str) -> list[str] | None:
+    """The pieces of a word; None if it must go through the tokenizer whole."""
+    if w.isascii():
+        if w.isalpha():
+            return [w.lower()]
+        if w[:-1].isalpha() and w[-1] in ".,":
+            return [w[:-1].lower(), w[-1]]
+    return None if WHOLE.search(w) else PIECES.findall(w.lower())
+
+
 class Encoder:
     """Ids of words, each distinct word encoded once.
 
@@ -55,36 +79,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {"": 0}  # the empty word stands for the end of a document
-        self.ids: list[np.ndarray] = [np.array([END])]
+        self.ids: list[list[int]] = [[END]]
         if len(self.pieces) > WORDS_KEPT:
             self.pieces = {}
 
     def learn(self, words: list[str]) -> None:
-        cut = {w: PIECES.findall(w.lower()) if not WHOLE.search(w) else None for w in words}
+        cut = {w: cut_word(w) for w in words}
         new = list(dict.fromkeys(x for found in cut.values() if found for x in found if x not in self.pieces))
         lines = [new[i : i + 100] for i in range(0, len(new), 100)]
         for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(found.ids, np.int32)
+            ids = found.ids
             # Each piece ends with an id that ends a word.
-            parts = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
+            edge = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            parts = [ids[x:y] for x, y in zip(edge, edge[1:])]
             if len(parts) != len(line):
-                parts = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in line]
+                parts = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in line]
             self.pieces.update(zip(line, parts))
+        pieces = self.pieces
         for w, found in cut.items():
             self.known[w] = len(self.ids)
             if found is None:
-                self.ids.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32))
+                self.ids.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
+            elif len(found) == 1:
+                self.ids.append(pieces[found[0]])
             else:
-                self.ids.append(self.pieces[found[0]] if len(found) == 1 else np.concatenate([self.pieces[x] for x in found]))
+                self.ids.append([i for x in found for i in pieces[x]])
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """For every text the places of its words in ids, the end last. A text with odd white space is one word."""
-        split = [[t] if ODD.search(t) else t.split() for t in texts]
+        split = [split_text(t) for t in texts]
         new = [w for w in set().union(*split) if w not in self.known]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
@@ -143,23 +171,29 @@ def keys_of(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return symbols[at] << 32 | symbols[at + 1]
 
 
-def compress(words: list[np.ndarray], ids: list[np.ndarray], first_rule: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+def compress(words: list[np.ndarray], ids: list[list[int]], first_rule: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
     """(symbols, rules as pairs, symbols of each document, ids of each document) of documents given as places of words."""
     sequence = np.concatenate(words)
-    own, sequence = np.unique(sequence, return_inverse=True)
-    count = np.bincount(sequence).astype(float)
-    size = np.array([len(ids[w]) for w in own])
+    used = np.zeros(len(ids), bool)
+    used[sequence] = True
+    own, sequence = np.flatnonzero(used), (np.cumsum(used) - 1)[sequence]
+    parts = [ids[w] for w in own.tolist()]
+    count, size = np.bincount(sequence).astype(float), np.fromiter(map(len, parts), np.int64, len(parts))
     n_ids = [int(size[sequence[a:b]].sum()) for a, b in _spans(words)]
-    symbols, word = np.concatenate([ids[w] for w in own]).astype(np.int64), np.repeat(np.arange(len(own)), size)
+    symbols, word = np.fromiter(chain.from_iterable(parts), np.int64, int(size.sum())), np.repeat(np.arange(len(own)), size)
     rules: list[np.ndarray] = []
     next_rule = first_rule
     for _ in range(WORD_ROUNDS):
         joined = np.flatnonzero((word[:-1] == word[1:]) & (symbols[:-1] != END) & (symbols[1:] != END))
-        keys = keys_of(symbols, joined)
-        pairs = chosen(keys, count[word[joined]])
+        keys, weight = keys_of(symbols, joined), count[word[joined]]
+        bins = bins_of(keys)
+        # A pair's bin weighs at least as much as the pair: most pairs drop out before they are sorted.
+        often = np.bincount(bins, weight, 1 << 20)[bins] >= LEAST
+        joined, keys, bins = joined[often], keys[often], bins[often]
+        pairs = chosen(keys, weight[often])
         if not len(pairs):
             break
-        symbols, kept, used = replaced(symbols, joined, keys, bins_of(keys), pairs, next_rule)
+        symbols, kept, used = replaced(symbols, joined, keys, bins, pairs, next_rule)
         word = word[kept]
         rules.append(used)
         next_rule += len(used)
@@ -173,7 +207,6 @@ def compress(words: list[np.ndarray], ids: list[np.ndarray], first_rule: int) ->
         joined = np.flatnonzero((symbols[:-1] != END) & (symbols[1:] != END))
         keys = keys_of(symbols, joined)
         bins = bins_of(keys)
-        # A pair's bin counts at least as often as the pair: most pairs drop out before they are sorted.
         often = np.bincount(bins, minlength=1 << 20)[bins] >= max(LEAST, len(symbols) >> 15)
         joined, keys, bins = joined[often], keys[often], bins[often]
         pairs = chosen(keys, None)
