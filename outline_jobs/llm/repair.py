@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id and sorted, so that files in the order of their names hold ascending doc_ids.
 A shard of about SHARD_TOKENS ids repeatedly replaces frequent neighbouring ids by a new symbol: first within distinct words weighted by how
-often each occurs, which are as good as the sequence itself for pairs that lie inside words, then over the whole sequence. No pair
+often each occurs, which are as good as the sequence itself for pairs that lie inside words, then over the whole sequence, each until no pair occurs twice. No pair
 includes the end id, so every document is a run of whole symbols. The file keeps the rules, each symbol's expansion length, and the
 documents' places, so that any ids of any document are decoded without expanding the rest.
 
@@ -31,8 +31,10 @@ from outline_jobs.llm.common import put, shared_dir, table
 
 MAGIC = b"RPR1"
 SHARD_TOKENS, WORDS_KEPT = 1_500_000, 600_000
-#: Least occurrences of a pair worth a rule, rules for each round, rounds within words and over the sequence.
-LEAST, RULES, WORD_ROUNDS, ROUNDS = 12, 8192, 5, 2
+#: The only floor: occurrences of a pair without which it gets no rule, in both phases. Two are as few as can repeat, so nothing that repeats is left.
+LEAST = 2
+#: Rules made between two counts of the pairs; rounds go on until no pair is left, so this bounds no result.
+RULES = 8192
 END = 2
 #: White space to Python but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
@@ -125,52 +127,91 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chosen(keys: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
-    """The most frequent pair keys, sorted by key."""
-    if weights is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys)
-        keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.intp)
-    count = np.diff(first, append=len(keys)) if weights is None else np.add.reduceat(weights, first) if len(first) else first
-    good = np.flatnonzero(count >= LEAST)
-    if len(good) > RULES:
-        good = good[np.argpartition(-count[good], RULES)[:RULES]]
-    return keys[first[np.sort(good)]]
-
-
-def bins_of(keys: np.ndarray) -> np.ndarray:
-    """20 bits of a pair's key."""
-    return ((keys >> 32) * 0x9E3779B1 + (keys & 0xFFFFFFFF) * 0x85EBCA77) & 0xFFFFF
-
-
-def replaced(symbols: np.ndarray, joined: np.ndarray, keys: np.ndarray, bins: np.ndarray, pairs: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replaces the pairs from left to right; joined, keys, bins: places i that may pair with i + 1. (symbols, kept places, rules used)."""
-    marked = np.zeros(1 << 20, bool)
-    marked[bins_of(pairs)] = True
-    near = np.flatnonzero(marked[bins])
-    rule = np.minimum(np.searchsorted(pairs, keys[near]), len(pairs) - 1)
-    right = pairs[rule] == keys[near]
-    at, rule = joined[near[right]], rule[right]
-    run = np.concatenate(([True], np.diff(at) > 1))
-    start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-    even = (at - start) % 2 == 0
-    at, rule = at[even], rule[even]
-    place = np.zeros(len(pairs), np.int64)
-    place[rule] = 1
-    used = np.flatnonzero(place)
-    out = symbols.copy()
-    out[at] = first + (np.cumsum(place) - 1)[rule]
-    kept = np.ones(len(symbols), bool)
-    kept[at + 1] = False
-    return out[kept], kept, pairs[used]
+def winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at these places, in ascending order, are replaced where they overlap: the higher rank first."""
+    won = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    while len(left):
+        a, r = at[left], rank[left]
+        touch = np.diff(a) == 1
+        best = np.ones(len(left), bool)
+        best[1:] &= ~touch | (r[1:] > r[:-1])
+        best[:-1] &= ~touch | (r[:-1] > r[1:])
+        won[left[best]] = True
+        gone = best.copy()
+        gone[1:] |= touch & best[:-1]
+        gone[:-1] |= touch & best[1:]
+        left = left[~gone]
+    return won
 
 
 def keys_of(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return symbols[at] << 32 | symbols[at + 1]
 
 
+def ruled(symbols: np.ndarray, joins: np.ndarray, weights: np.ndarray | None, next_rule: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Replaces pairs until none occurs LEAST times. joins: whether place i may pair with i + 1; weights: of places. (symbols, places they come from, rules).
+
+    Every round replaces the RULES most frequent pairs, those used less than LEAST times by then excepted; the first of them is used wherever
+    it occurs, so no round is in vain. A place whose pair is too rare is left alone until one of its two symbols changes: a pair of
+    old symbols never becomes more frequent.
+    """
+    places, rules, live = np.arange(len(symbols)), [], joins.copy()
+    while True:
+        at = np.flatnonzero(live)
+        keys = keys_of(symbols, at)
+        # Of a run of one symbol every other place counts.
+        same = np.flatnonzero(keys >> 32 == keys & 0xFFFFFFFF)
+        if len(same):
+            s = at[same]
+            run = np.concatenate(([True], np.diff(s) > 1))
+            start = s[np.maximum.accumulate(np.where(run, np.arange(len(s)), 0))]
+            keep = np.ones(len(at), bool)
+            keep[same[(s - start) % 2 == 1]] = False
+            at, keys = at[keep], keys[keep]
+        if not len(at):
+            break
+        weight = None if weights is None else weights[at]
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        n = np.diff(first, append=len(ordered))
+        count = n if weight is None else np.add.reduceat(weight[order], first)
+        often = count >= LEAST
+        live[at[order[np.repeat(~often, n)]]] = False
+        good = np.flatnonzero(often)
+        if not len(good):
+            break
+        if len(good) > RULES:
+            good = good[np.argpartition(-count[good], RULES)[:RULES]]
+        good = good[np.lexsort((good * 0x9E3779B1 & 0xFFFFF, count[good]))]
+        rank = np.full(len(first), -1)
+        rank[good] = np.arange(len(good))
+        own = np.empty(len(at), np.int64)
+        own[order] = np.repeat(rank, n)
+        some = own >= 0
+        at, own = at[some], own[some]
+        won = winners(at, own)
+        at, own = at[won], own[won]
+        uses = np.bincount(own, None if weights is None else weights[at], len(good))
+        enough = uses >= LEAST
+        at, own = at[enough[own]], own[enough[own]]
+        rules.append(ordered[first[good[enough]]])
+        symbols[at] = next_rule + (np.cumsum(enough) - 1)[own]
+        kept = np.ones(len(symbols), bool)
+        kept[at + 1] = False
+        # The new symbol joins what follows as the second of its two did.
+        joins[at] = joins[at + 1]
+        symbols, places, joins, live = symbols[kept], places[kept], joins[kept], live[kept]
+        weights = None if weights is None else weights[kept]
+        at = at - np.arange(len(at))
+        live[at] = joins[at]
+        before = at[at > 0] - 1
+        live[before] = joins[before]
+        next_rule += int(enough.sum())
+    return symbols, places, rules
+
+
 def compress(words: list[np.ndarray], ids: list[list[int]], first_rule: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
     """(symbols, rules as pairs, symbols of each document, ids of each document) of documents given as places of words."""
     sequence = np.concatenate(words)
@@ -181,41 +222,18 @@ def compress(words: list[np.ndarray], ids: list[list[int]], first_rule: int) ->
     count, size = np.bincount(sequence).astype(float), np.fromiter(map(len, parts), np.int64, len(parts))
     n_ids = [int(size[sequence[a:b]].sum()) for a, b in _spans(words)]
     symbols, word = np.fromiter(chain.from_iterable(parts), np.int64, int(size.sum())), np.repeat(np.arange(len(own)), size)
-    rules: list[np.ndarray] = []
-    next_rule = first_rule
-    for _ in range(WORD_ROUNDS):
-        joined = np.flatnonzero((word[:-1] == word[1:]) & (symbols[:-1] != END) & (symbols[1:] != END))
-        keys, weight = keys_of(symbols, joined), count[word[joined]]
-        bins = bins_of(keys)
-        # A pair's bin weighs at least as much as the pair: most pairs drop out before they are sorted.
-        often = np.bincount(bins, weight, 1 << 20)[bins] >= LEAST
-        joined, keys, bins = joined[often], keys[often], bins[often]
-        pairs = chosen(keys, weight[often])
-        if not len(pairs):
-            break
-        symbols, kept, used = replaced(symbols, joined, keys, bins, pairs, next_rule)
-        word = word[kept]
-        rules.append(used)
-        next_rule += len(used)
+    joins = np.append((word[:-1] == word[1:]) & (symbols[:-1] != END) & (symbols[1:] != END), False)
+    symbols, places, rules = ruled(symbols, joins, count[word], first_rule)
+    word = word[places]
     size = np.bincount(word, minlength=len(own))
     begin = np.cumsum(size) - size
     n = size[sequence]
     symbols = symbols[np.repeat(begin[sequence] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     per_doc = np.add.reduceat(n, np.cumsum([0, *map(len, words)])[:-1])
     doc = np.repeat(np.arange(len(words)), per_doc)
-    for _ in range(ROUNDS):
-        joined = np.flatnonzero((symbols[:-1] != END) & (symbols[1:] != END))
-        keys = keys_of(symbols, joined)
-        bins = bins_of(keys)
-        often = np.bincount(bins, minlength=1 << 20)[bins] >= max(LEAST, len(symbols) >> 15)
-        joined, keys, bins = joined[often], keys[often], bins[often]
-        pairs = chosen(keys, None)
-        if not len(pairs):
-            break
-        symbols, kept, used = replaced(symbols, joined, keys, bins, pairs, next_rule)
-        doc = doc[kept]
-        rules.append(used)
-        next_rule += len(used)
+    joins = np.append((symbols[:-1] != END) & (symbols[1:] != END), False)
+    symbols, places, more = ruled(symbols, joins, None, first_rule + sum(map(len, rules)))
+    doc, rules = doc[places], rules + more
     flat = np.concatenate(rules) if rules else np.empty(0, np.int64)
     return symbols, np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1), np.bincount(doc, minlength=len(words)).tolist(), n_ids
 

@@ -246,3 +246,27 @@ def test_pipeline(spark, tmp_path, rows):
     spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got and rows[0][0] not in got and sum(k in got for k in (50, 51, 52, *range(60, 66))) <= 1 and max(got.values()) <= 3
+
+
+def test_grammar_leaves_no_repeated_pair():
+    enc = repair.encoder(repair.tokenizer_path())
+    size, r = enc.tokenizer.get_vocab_size(), random.Random(5)
+    passage = " ".join(f"word{k} thing" for k in range(400))
+    texts = [passage] * 100 + [f"start{k} {passage} aaaaaaa aaaaaaaa" for k in range(20)] + [" ".join(r.choices(["one", "two", "three", "four"], k=300)) for _ in range(20)] + [""]
+    found = enc.words(texts)
+    symbols, rules, n_symbols, n_ids = repair.compress(found, enc.ids, size)
+    assert n_symbols[:100] == [2] * 100  # the whole passage is one symbol, then the end
+    seen, last, twice = set(), None, []
+    for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
+        if repair.END in pair or pair == last:  # of a run of one symbol every other pair
+            last = None
+            continue
+        twice += [pair] if pair in seen else []
+        seen.add(pair)
+        last = pair if pair[0] == pair[1] else None
+    assert not twice
+    shard = repair.Shard(repair.packed(symbols, rules, size, list(range(len(texts))), n_symbols, n_ids))
+    for k, t in enumerate(texts):
+        assert list(shard.ids(k)) == enc.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    # Every rule is used, by the symbols or by other rules.
+    assert np.bincount(np.concatenate((symbols, rules.ravel())), minlength=size + len(rules))[size:].min() >= 1
