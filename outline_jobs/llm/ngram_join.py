@@ -8,8 +8,8 @@ by their full sets of n-grams as products of 0/1 matrices, and returns a count o
 forest of the links, not the pairs. No pair of texts is skipped, capped or compared twice.
 
 Defined cases. Null is the empty text. Texts without words link to nothing; equal ones still form a class. Texts of fewer than n words are one
-n-gram. doc_id is the key; a null doc_id is never a representative. Repeated rows fall into one class. Empty tables give empty results; extra
-columns are left out.
+n-gram. Texts are told apart by their hashes, not by doc_id: rows that share a doc_id, or have none, but differ in text stay apart. A class is named by
+its smallest doc_id, null if it has none. Repeated rows fall into one class. Empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outline_jobs.llm.common import WORD_PATTERN, mixed, shingle_hashes, table, word_hashes, written
@@ -110,6 +110,15 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def text_keys() -> list[Column]:
+    """Two hashes of a row's text, and its doc_id as two columns that are never null: together they tell rows apart."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none")]
+
+
+KEYS = ["h1", "h2", "_id", "_none"]
+
+
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, hashes of its text (h1, h2) and its bands; no bands for texts without words."""
 
@@ -124,7 +133,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pairs: bool = False) -> DataFrame:
-    """members: (root, rep). Counts of links (rep, n_links) with forest edges (rep, other), or all pairs (rep, other, similarity)."""
+    """members: root, rep and the keys of a row that holds the text. Counts of links (rep, n_links) with forest edges (rep, other), or all pairs (rep, other, similarity)."""
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
 
@@ -133,7 +142,7 @@ def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pair
             yield b[["root", "rep", "blocks", "block"]].assign(grams=[np.unique(shingle_hashes(word_hashes(x), n)).tobytes() for x in b["text"]])
 
     # A merge join at every size: the plan, and so its growth, doesn't change where one side happens to be small.
-    found = docs.select("doc_id", "text").join(m.hint("merge"), F.col("doc_id") == F.col("rep")).select("root", "rep", "blocks", "block", "text")
+    found = docs.select(*text_keys(), "text").join(m.hint("merge"), KEYS).select("root", "rep", "blocks", "block", "text")
     found = found.mapInPandas(sets, "root long, rep long, blocks int, block int, grams binary")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = found.select("root", "rep", "block", "grams", F.explode(every).alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams")
@@ -173,44 +182,58 @@ def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pair
     return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInPandas(verify, "rep long, other long, n_links long, similarity double")
 
 
-def candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(classes: doc_id and the smallest doc_id with an equal text; members: root and rep of candidate components)."""
+def candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, h1, h2; texts: rep, a number for each distinct text, its smallest doc_id as first and the keys of a row that holds it; members: root, rep and those keys, of candidate components)."""
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, n, bands, rows), "ngram-signatures")
-    first = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = written(sig.select("doc_id", "h1", "h2").join(first, ["h1", "h2"]).select("doc_id", "rep"), "ngram-classes")
-    reps = sig.join(first.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    band = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = band.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("end")).where("hub <> end").drop("end")
-    edges = band.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    first = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    # Written, so that every reader sees the same numbers.
+    texts = written(first.select(F.monotonically_increasing_id().alias("rep"), "first", "h1", "h2", F.coalesce("first", F.lit(0)).cast("long").alias("_id"), F.col("first").isNull().alias("_none")), "ngram-texts")
+    reps = sig.select("h1", "h2", F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none"), "bands").join(texts.select("rep", *KEYS), KEYS)
+    band = reps.select("rep", F.explode("bands").alias("key"))
+    hubs = band.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("end")).where("hub <> end").drop("end")
+    edges = band.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     tree = components(edges)
     members = tree.select("root", F.col("node").alias("rep")).unionByName(tree.select("root", F.col("root").alias("rep")).distinct())
-    return classes, written(members, "ngram-members")
+    return sig.select("doc_id", "h1", "h2"), texts, written(members.join(texts.select("rep", *KEYS), "rep"), "ngram-members")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """All linked pairs of representatives: rep, other, similarity. Their number can be the square of a group's size."""
-    _, members = candidates(docs, threshold, n, recall)
-    return compared(docs, members, threshold, n, pairs=True).select(F.least("rep", "other").alias("rep"), F.greatest("rep", "other").alias("other"), "similarity")
-
-
-def near_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """doc_id; class_id: the smallest doc_id that copies and links lead to; copy_of: the smallest with an equal text; n_links: other texts linked to this one."""
-    classes, members = candidates(docs, threshold, n, recall)
+    """All linked pairs of texts by their smallest doc_ids: rep, other, similarity. Their number can be the square of a group's size."""
+    _, texts, members = candidates(docs, threshold, n, recall)
+    found = compared(docs, members, threshold, n, pairs=True)
+    for side in ("rep", "other"):
+        found = found.join(texts.select(F.col("rep").alias(side), F.col("first").alias(f"_{side}")), side)
+    both = F.col("_rep").isNotNull() & F.col("_other").isNotNull()
+    return found.select(F.least("_rep", "_other").alias("rep"), F.when(both, F.greatest("_rep", "_other")).alias("other"), "similarity")
+
+
+def classified(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows as of candidates(); texts with their class's number as root and n_links)."""
+    rows, texts, members = candidates(docs, threshold, n, recall)
     links = written(compared(docs, members, threshold, n), "ngram-links")
     counts = links.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     tree = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     facts = counts.join(tree.withColumnRenamed("node", "rep"), "rep", "left")
-    out = classes.join(facts, "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows, texts.join(facts, "rep", "left").withColumns({"root": F.coalesce("root", "rep"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """docs without all but the smallest doc_id of each class; rows equal in doc_id count as one."""
-    found = near_copies(docs, threshold, n)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if found.groupBy("doc_id").count().where("count > 1").take(1) else kept
+def near_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """doc_id; class_id: the smallest doc_id that copies and links lead to; copy_of: the smallest with an equal text; n_links: other texts linked to this one."""
+    rows, texts = classified(docs, threshold, n, recall)
+    texts = written(texts, "ngram-classes")
+    heads = texts.groupBy("root").agg(F.min("first").alias("class_id"))
+    out = rows.join(texts.join(heads, "root").select("h1", "h2", "first", "class_id", "n_links"), ["h1", "h2"])
+    return out.select("doc_id", "class_id", F.col("first").alias("copy_of"), "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """One row of docs for each class: of the text with the smallest doc_id (null last, then by hash), and of rows equal in doc_id and text the first by all columns."""
+    _, texts = classified(docs, threshold, n, recall)
+    heads = texts.groupBy("root").agg(F.min(F.struct("_none", "_id", "h1", "h2")).alias("_head")).select("_head.*")
+    kept = docs.select(*docs.columns, *text_keys()).join(heads.hint("merge"), KEYS, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*docs.columns))
+    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

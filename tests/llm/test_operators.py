@@ -270,3 +270,20 @@ def test_grammar_leaves_no_repeated_pair():
         assert list(shard.ids(k)) == enc.tokenizer.encode(t, add_special_tokens=False).ids + [2]
     # Every rule is used, by the symbols or by other rules.
     assert np.bincount(np.concatenate((symbols, rules.ravel())), minlength=size + len(rules))[size:].min() >= 1
+
+
+def test_one_of_each_with_shared_and_null_ids(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " tail"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, near(a), "x"), (None, c, "x"), (None, d, "x"), (None, d, "y"), (None, near(d), "x"), (3, e, "x"), (None, e, "x"), (None, near(b), "x"), (4, f, "z"), (4, f, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = Counter([(1, a, "x"), (1, b, "x"), (None, c, "x"), (3, e, "x"), (4, f, "x")])
+    got = Counter(map(tuple, ngram_join.one_of_each(docs).collect()))
+    of_d = [k for k in got if k[1] in (d, near(d))]
+    assert len(of_d) == 1 and of_d[0][0] is None and of_d[0][2] == "x"
+    assert got - Counter(of_d) == want
+    assert Counter(map(tuple, ngram_join.one_of_each(docs.orderBy("lang", "text")).collect())) == got
+    found = Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in ngram_join.near_copies(docs).collect())
+    assert found == Counter({(1, 1, 1, 1): 3, (2, 1, 2, 1): 1, (None, None, None, 0): 1, (None, None, None, 1): 3, (3, 3, 3, 0): 1, (None, 3, 3, 0): 1, (None, 1, None, 1): 1, (4, 4, 4, 0): 2})
