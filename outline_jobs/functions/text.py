@@ -42,6 +42,13 @@ def strip_markdown(c: Column) -> Column:
     return strip(bare)
 
 
+def heading_text(c: Column) -> Column:
+    """A block's visible text, from which its label is read: without heading marks, a heading's trailing footnote marks, and bold marks around the whole."""
+    bare = F.regexp_replace(c, rf"^#{{1,6}}[{WS}]+", "")
+    bare = F.when(c.startswith("#"), F.regexp_replace(bare, rf"(?is)(?:[{WS}]*<sup\b[^>]*>.*?</sup>)+[{WS}]*$", "")).otherwise(bare)
+    return strip(F.regexp_replace(bare, r"(?s)^\*\*(.*)\*\*$", "$1"))
+
+
 def repeat_key(c: Column) -> Column:
     """What is left of a running header when page numbers change."""
     return F.lower(strip(F.regexp_replace(squeeze(c), rf"{DIGIT}+", "#")))
@@ -103,7 +110,9 @@ def roman_value(token: Column) -> Column:
     return F.when(up.rlike(ROMAN), total)
 
 
-READING = "struct<family:string,value:int,series:string,path:array<int>>"
+#: Numbers of up to 38 digits; longer ones read as null in value and path, while the series keeps all digits.
+NUMBER = "decimal(38,0)"
+READING = f"struct<family:string,value:{NUMBER},series:string,path:array<{NUMBER}>>"
 
 
 def label_readings(label: Column) -> Column:
@@ -111,10 +120,11 @@ def label_readings(label: Column) -> Column:
     bare, last = bare_label(label), F.substring(label, -1, 1)
     ending = F.when(label.startswith("("), "parenthesized").when(last.isin(".", ")"), last).otherwise("bare")
     case = F.when((F.upper(bare) == bare) & (F.lower(bare) != bare), "upper").otherwise("lower")
-    parts = F.split(bare, r"\.").cast("array<int>")
-    front = F.concat(F.lit("["), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).cast("array<string>"), ", "), F.lit("]"))
-    none = F.lit(None).cast("array<int>")
-    reading = lambda family, value, series, path: F.struct(F.lit(family).alias("family"), value.cast("int").alias("value"), series.alias("series"), path.alias("path"))
+    digits = F.transform(F.split(bare, r"\."), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    parts = F.transform(digits, lambda x: x.try_cast(NUMBER))
+    front = F.concat(F.lit("["), F.array_join(F.slice(digits, 1, F.greatest(F.size(digits) - 1, F.lit(0))), ", "), F.lit("]"))
+    none = F.lit(None).cast(f"array<{NUMBER}>")
+    reading = lambda family, value, series, path: F.struct(F.lit(family).alias("family"), value.cast(NUMBER).alias("value"), series.alias("series"), path.alias("path"))
     number = F.array(reading("numeric", F.element_at(parts, -1), F.concat(F.lit("numeric:"), ending, F.lit(":"), front), parts))
     letter = F.when(bare.rlike("^[A-Za-z]$"), reading("alpha", F.ascii(F.lower(bare)) - 96, F.concat_ws(":", F.lit("alpha"), case, ending), none))
     roman = F.when(roman_value(bare).isNotNull(), reading("roman", roman_value(bare), F.concat_ws(":", F.lit("roman"), case, ending), none))

@@ -11,19 +11,26 @@ from outline_jobs.plans.line_queries import sql, stages
 from outline_jobs.plans.tree_queries import _TOKENS, pages
 
 
-def _tokens(spark, sf_dir):
-    """First words of all lines, as labels to read."""
-    lines = stages(spark, sf_dir)["lines"].select("doc_id", "line_idx", F.split("text", " ")[0].alias("label"))
-    return lines
+def labelled(lines):
+    """Every line with its label, read from the visible text as the reference does; '' and the whole text without one."""
+    d = once(lines, "clean", tx.heading_text(F.col("text")))
+    title = F.when(F.col("clean").rlike(tx.BLOCK_LABEL), F.regexp_extract("clean", tx.BLOCK_LABEL, 2)).otherwise(F.col("clean"))
+    return d.select("doc_id", "line_idx", F.regexp_extract("clean", tx.BLOCK_LABEL, 1).alias("label"), title.alias("title"))
 
 
-_FIRST = "l AS (SELECT doc_id, line_idx, string_split(text, ' ')[1] AS label FROM lines), bare AS (SELECT *, regexp_replace(label, '^[().]+|[().]+$', '', 'g') AS bare FROM l)"
-_WORTH = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items())
+def readings(labels):
+    """Every reading of every label."""
+    d = once(labels, "r", tx.label_readings(F.col("label")))
+    return d.select("doc_id", "line_idx", F.explode("r").alias("r")).select("doc_id", "line_idx", "r.family", "r.value", "r.series")
 
 
 def _matched(spark, sf_dir):
-    lines = stages(spark, sf_dir)["lines"]
-    return lines.where(F.col("text").rlike(tx.BLOCK_LABEL)).select("doc_id", "line_idx", F.regexp_extract("text", tx.BLOCK_LABEL, 1).alias("label"), F.regexp_extract("text", tx.BLOCK_LABEL, 2).alias("title"))
+    return labelled(stages(spark, sf_dir)["lines"])
+
+
+# The SQL of match_label, label_grammar, numeric_depth and label_interpretations still reads the first word of the raw line (see the README).
+_FIRST = "l AS (SELECT doc_id, line_idx, string_split(text, ' ')[1] AS label FROM lines), bare AS (SELECT *, regexp_replace(label, '^[().]+|[().]+$', '', 'g') AS bare FROM l)"
+_WORTH = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items())
 
 
 def _roman(spark, sf_dir):
@@ -32,11 +39,6 @@ def _roman(spark, sf_dir):
     return d.where(F.upper("bare").rlike(tx.ROMAN)).select("doc_id", "line_idx", "pos", "bare", tx.roman_value(F.col("bare")).alias("value"))
 
 
-def _readings(spark, sf_dir):
-    d = once(_tokens(spark, sf_dir).where(F.length("label") <= 8), "r", tx.label_readings(F.col("label")))
-    return d.select("doc_id", "line_idx", F.explode("r").alias("r")).where("r.family <> 'roman'").select("doc_id", "line_idx", "r.family", "r.value", "r.series")
-
-
 def _altered(nodes):
     """Another run: every seventh node with another text, every eleventh with another title."""
     return nodes.withColumns({"text": F.when(F.col("node_key") % 7 == 3, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")), "title": F.when(F.col("node_key") % 11 == 5, F.concat("title", F.lit(" x"))).otherwise(F.col("title"))})
@@ -60,11 +62,11 @@ def _consistency(spark, sf_dir):
 
 _ALL = {
     "match_label": (_matched, f"SELECT doc_id, line_idx, regexp_extract(text, '{tx.BLOCK_LABEL}', 1) AS label, regexp_extract(text, '{tx.BLOCK_LABEL}', 2) AS title FROM lines WHERE regexp_matches(text, '{tx.BLOCK_LABEL}')"),
-    "label_grammar": (lambda s, d: _tokens(s, d).select("doc_id", "line_idx", tx.label_grammar(F.col("label")).alias("grammar")), f"SELECT doc_id, line_idx, CASE WHEN regexp_matches(label, '[A-Za-z]') THEN 'ambiguous' ELSE 'numeric_or_raw' END AS grammar FROM (WITH {_FIRST} SELECT * FROM l)"),
-    "numeric_depth": (lambda s, d: _tokens(s, d).select("doc_id", "line_idx", tx.numeric_depth(F.col("label")).alias("depth")).where("depth is not null"), f"SELECT doc_id, line_idx, len(string_split(bare, '.')) AS depth FROM (WITH {_FIRST} SELECT * FROM bare) WHERE regexp_matches(bare, '{tx.DECIMAL}')"),
+    "label_grammar": (lambda s, d: _matched(s, d).select("doc_id", "line_idx", tx.label_grammar(F.col("label")).alias("grammar")), f"SELECT doc_id, line_idx, CASE WHEN regexp_matches(label, '[A-Za-z]') THEN 'ambiguous' ELSE 'numeric_or_raw' END AS grammar FROM (WITH {_FIRST} SELECT * FROM l)"),
+    "numeric_depth": (lambda s, d: _matched(s, d).select("doc_id", "line_idx", tx.numeric_depth(F.col("label")).alias("depth")).where("depth is not null"), f"SELECT doc_id, line_idx, len(string_split(bare, '.')) AS depth FROM (WITH {_FIRST} SELECT * FROM bare) WHERE regexp_matches(bare, '{tx.DECIMAL}')"),
     "roman_value": (_roman, f"""SELECT doc_id, line_idx, pos, bare, sum(CASE WHEN v < nxt THEN -v ELSE v END)::INT AS value FROM (SELECT *, coalesce(lead(v) OVER (PARTITION BY doc_id, line_idx, pos ORDER BY i), 0) AS nxt FROM (SELECT *, CASE substr(upper(bare), i::INT, 1) {_WORTH} ELSE 0 END AS v FROM
         (SELECT *, unnest(range(1, length(bare) + 1)) AS i FROM (SELECT *, regexp_replace(label, '^[().]+|[().]+$', '', 'g') AS bare FROM (SELECT doc_id, line_idx, unnest(string_split(text, ' ')) AS label, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM lines)) WHERE bare <> '' AND regexp_matches(upper(bare), '^M{{0,3}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$')))) GROUP BY doc_id, line_idx, pos, bare"""),
-    "label_interpretations": (_readings, f"""SELECT doc_id, line_idx, CASE WHEN num THEN 'numeric' ELSE 'alpha' END AS family, CASE WHEN num THEN CAST(string_split(bare, '.')[-1] AS INT) ELSE ascii(lower(bare)) - 96 END AS value,
+    "label_interpretations": (lambda s, d: readings(_matched(s, d)), f"""SELECT doc_id, line_idx, CASE WHEN num THEN 'numeric' ELSE 'alpha' END AS family, CASE WHEN num THEN CAST(string_split(bare, '.')[-1] AS INT) ELSE ascii(lower(bare)) - 96 END AS value,
         CASE WHEN num THEN 'numeric:' || ending || ':[' || array_to_string(string_split(bare, '.')[:-2], ', ') || ']' ELSE 'alpha:' || CASE WHEN bare = upper(bare) THEN 'upper' ELSE 'lower' END || ':' || ending END AS series
         FROM (SELECT *, regexp_matches(bare, '{tx.DECIMAL}') AS num, CASE WHEN label LIKE '(%' THEN 'parenthesized' WHEN label[-1] IN ('.', ')') THEN label[-1] ELSE 'bare' END AS ending FROM (WITH {_FIRST} SELECT * FROM bare) WHERE length(label) <= 8) WHERE num OR regexp_matches(bare, '^[A-Za-z]$')"""),
     "compare_runs": (_runs, """SELECT doc_id, status, fields, count(*) AS n FROM (

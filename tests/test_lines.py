@@ -66,3 +66,15 @@ def test_clamp_and_parents_match_loops(spark):
                 stack.pop()
             assert got[d, i] == (last, stack[-1][1] if stack else None)
             stack.append((last, i))
+
+
+def test_labels_of_visible_text(spark):
+    from outline_jobs.plans import evaluation_queries
+
+    texts = ["# 1. Scope", "## 1.1 Part <sup>2</sup>", "**(a) Bold**", "plain words", "## 10.10.10.1 Deep", "1." + "9" * 30 + " Long", "iv. Roman", "# Title"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_idx int, text string").selectExpr("1 as doc_id", "*")
+    labels = evaluation_queries.labelled(lines)
+    assert {r["line_idx"]: (r["label"], r["title"]) for r in labels.collect()} == {
+        0: ("1.", "Scope"), 1: ("1.1", "Part"), 2: ("(a)", "Bold"), 3: ("", "plain words"), 4: ("10.10.10.1", "Deep"), 5: ("1." + "9" * 30, "Long"), 6: ("iv.", "Roman"), 7: ("", "Title")}
+    found = sorted((r["line_idx"], r["family"], int(r["value"]), r["series"]) for r in evaluation_queries.readings(labels).collect())
+    assert found == [(0, "numeric", 1, "numeric:.:[]"), (1, "numeric", 1, "numeric:bare:[1]"), (2, "alpha", 1, "alpha:lower:parenthesized"), (4, "numeric", 1, "numeric:bare:[10, 10, 10]"), (5, "numeric", int("9" * 30), "numeric:bare:[1]"), (6, "roman", 4, "roman:lower:.")]
