@@ -78,3 +78,15 @@ def test_labels_of_visible_text(spark):
         0: ("1.", "Scope"), 1: ("1.1", "Part"), 2: ("(a)", "Bold"), 3: ("", "plain words"), 4: ("10.10.10.1", "Deep"), 5: ("1." + "9" * 30, "Long"), 6: ("iv.", "Roman"), 7: ("", "Title")}
     found = sorted((r["line_idx"], r["family"], int(r["value"]), r["series"]) for r in evaluation_queries.readings(labels).collect())
     assert found == [(0, "numeric", 1, "numeric:.:[]"), (1, "numeric", 1, "numeric:bare:[1]"), (2, "alpha", 1, "alpha:lower:parenthesized"), (4, "numeric", 1, "numeric:bare:[10, 10, 10]"), (5, "numeric", int("9" * 30), "numeric:bare:[1]"), (6, "roman", 4, "roman:lower:.")]
+
+
+def test_stats_of_real_ids_and_depths(spark):
+    from outline_jobs.operators import trees
+    from outline_jobs.plans import tree_queries
+
+    nodes = outline(spark, "# Handbook\nIntro\n# 1. Scope\nBody one\n# 2. Next\nText", "# 1. Scope\nEnd").nodes
+    ids = [r["node_id"] for r in nodes.collect()]
+    s = trees.tree_stats(tree_queries.with_true_depth(nodes)).first()
+    assert len(ids) - len(set(ids)) == s["duplicate_ids"] == 1 and s["depth_issues"] == 0 and s["total_nodes"] == len(ids)
+    wrong = nodes.withColumn("depth", F.when(F.col("label") == "2", 4).otherwise(F.col("depth")))
+    assert trees.tree_stats(tree_queries.with_true_depth(wrong)).first()["depth_issues"] == 1
