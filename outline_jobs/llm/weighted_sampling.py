@@ -7,7 +7,8 @@ ln(c) - r * (t - b + 1). Two documents agree on a draw (term and t) with a proba
 generalised Jaccard similarity, sum of min(w) over sum of max(w). A fingerprint keeps 16 bits of each draw.
 
 Defined cases. Null is the empty text. A text without words has the fingerprint of all zeros; two such agree fully, and with
-any other text not at all. Equal texts have equal fingerprints. In with_edits(), rows with one doc_id are ordered by their text.
+any other text not at all. Equal texts have equal fingerprints. In with_edits(), rows with one doc_id are ordered by their text; those with a null
+doc_id come first of all, in slice 0.
 Empty tables give empty results; extra columns are left out.
 """
 
@@ -117,14 +118,16 @@ def with_next(docs: DataFrame, per_slice: int = 2000) -> DataFrame:
     def slice_of(i: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, i.to_numpy(dtype=float), side="right").astype("int32"))
 
-    dealt = ids.withColumn("_slice", slice_of(F.col("doc_id")))
-    heads = written(dealt.groupBy("_slice").agg(F.min("doc_id").alias("_head")), "slice-heads")
+    own_slice = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(slice_of(F.coalesce("doc_id", F.lit(0))))
+    dealt = docs.select("doc_id", own_slice.alias("_slice"))
+    # The head of a slice is null where rows without a doc_id begin it.
+    heads = written(dealt.groupBy("_slice").agg(F.when(F.max(F.col("doc_id").isNull()), F.lit(None)).otherwise(F.min("doc_id")).alias("_head")), "slice-heads")
     order = [r["_slice"] for r in heads.select("_slice").orderBy("_slice").collect()]
     lends = spark.createDataFrame([(s, order[k - 1]) for k, s in enumerate(order)] or [(-1, -1)], "_slice int, _to int")
     heads = heads.join(F.broadcast(lends), "_slice")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").withColumn("_own", slice_of(F.col("doc_id")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_own", own_slice)
     h = F.broadcast(heads.select(F.col("_head"), F.col("_to")))
-    rows = rows.join(h, rows["doc_id"] == h["_head"], "left")
+    rows = rows.join(h, rows["doc_id"].eqNullSafe(h["_head"]), "left")
     places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_own").alias("_slice"), F.lit(False).alias("_guest")))).otherwise(
         F.array(F.struct(F.col("_own").alias("_slice"), F.lit(False).alias("_guest")), F.struct(F.col("_to").alias("_slice"), F.lit(True).alias("_guest")))
     )
@@ -160,7 +163,9 @@ def with_edits(docs: DataFrame, n: int = 1) -> DataFrame:
                 held, done = (None if guest else now), guest
             yield pd.DataFrame(out, columns=names)
 
-    return with_next(docs).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # As text, since pandas would turn ids among nulls into doubles.
+    dealt = with_next(docs).select("_slice", "_guest", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return dealt.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

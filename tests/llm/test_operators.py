@@ -287,3 +287,17 @@ def test_one_of_each_with_shared_and_null_ids(spark):
     assert Counter(map(tuple, ngram_join.one_of_each(docs.orderBy("lang", "text")).collect())) == got
     found = Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in ngram_join.near_copies(docs).collect())
     assert found == Counter({(1, 1, 1, 1): 3, (2, 1, 2, 1): 1, (None, None, None, 0): 1, (None, None, None, 1): 3, (3, 3, 3, 0): 1, (None, 3, 3, 0): 1, (None, 1, None, 1): 1, (4, 4, 4, 0): 2})
+
+
+def test_sampling_of_null_ids(spark):
+    for some in ([(None, "b c"), (None, "a b"), (2**60 + 1, "x y z"), (1, "p q"), (None, None)], [(None, "b c"), (None, "a b")]):
+        ordered = sorted(some, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        want = Counter()
+        for k, (i, t) in enumerate(ordered):
+            t, other = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+            half = len(t) // 2
+            want[i, len(t), hashlib.sha256((t[: len(t) - half] + other[:half]).encode()).hexdigest()] += 1
+        got = weighted_sampling.with_edits(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert want == Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got)
+        many = spark.createDataFrame(some + [(k, "t") for k in range(10, 60)], "doc_id long, text string")
+        assert weighted_sampling.with_next(many, 10).where("not _guest and doc_id is null").count() == sum(i is None for i, _ in some)
