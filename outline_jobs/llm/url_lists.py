@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from outline_jobs.llm.common import table
 
-#: Labels a host can have at most in the domain name system; longer ones are cut into this many suffixes from the right.
-MAX_LABELS = 127
-
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL without user, port and final dot; '' if there is none."""
@@ -28,9 +25,8 @@ def host_of(url: Column) -> Column:
 
 def domains(host: Column) -> Column:
     """The host and its parent domains, longest first."""
-    parts = F.split(host, r"\.")
-    n = F.least(F.size(parts), F.lit(MAX_LABELS))
-    return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+    parts = F.split(F.coalesce(host, F.lit("")), r"\.")
+    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -56,10 +52,11 @@ def join_as_of(captures: DataFrame, active: DataFrame, url: str = "url", fetched
     so no capture meets more rows than it has domains times lists.
     """
     e = active.select("list_name", F.col("host").alias("entry"), "since", "until")
-    asked = captures.select(F.col(key).alias("_key"), F.col(fetched).alias("_at"), F.explode(domains(host_of(F.col(url)))).alias("_domain")).where("_domain <> ''")
+    asked = captures.select(F.col(key).alias("_key"), F.col(fetched).alias("_at"), host_of(F.col(url)).alias("_host"), F.explode(domains(host_of(F.col(url)))).alias("_domain")).where("_domain <> ''")
     hit = asked.join(e, (F.col("_domain") == F.col("entry")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
-    best = hit.groupBy("_key", "_at").agg(F.min(F.struct((-F.length("entry")).alias("n"), "list_name", "entry", "since", "until")).alias("_best"))
-    out = captures.join(best, captures[key].eqNullSafe(best["_key"]) & captures[fetched].eqNullSafe(best["_at"]), "left")
+    best = hit.groupBy("_key", "_at", "_host").agg(F.min(F.struct((-F.length("entry")).alias("n"), "list_name", "entry", "since", "until")).alias("_best"))
+    same = captures[key].eqNullSafe(best["_key"]) & captures[fetched].eqNullSafe(best["_at"]) & host_of(captures[url]).eqNullSafe(best["_host"])
+    out = captures.join(best, same, "left")
     return out.select(
         *[captures[c] for c in captures.columns],
         F.col("_best").isNotNull().alias("blocked"),

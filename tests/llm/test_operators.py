@@ -301,3 +301,11 @@ def test_sampling_of_null_ids(spark):
         assert want == Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got)
         many = spark.createDataFrame(some + [(k, "t") for k in range(10, 60)], "doc_id long, text string")
         assert weighted_sampling.with_next(many, 10).where("not _guest and doc_id is null").count() == sum(i is None for i, _ in some)
+
+
+def test_lists_of_shared_ids_and_long_hosts(spark):
+    long = ".".join(["a"] * 150) + ".com"
+    active = spark.sql(f"select 'x' as list_name, h as host, timestamp'2024-01-01' as since, cast(null as timestamp) as until from values ('bad.com'), ('{long}') t(h)")
+    captures = spark.createDataFrame([(1, "http://bad.com/a"), (1, "http://good.com/"), (1, None), (2, f"http://{long}/"), (3, "http://s.bad.com")], "page_id long, url string").selectExpr("*", "timestamp'2024-02-01' as fetched_at")
+    got = {(r["page_id"], r["url"]): r["entry"] for r in url_lists.join_as_of(captures, active).collect()}
+    assert got == {(1, "http://bad.com/a"): "bad.com", (1, "http://good.com/"): None, (1, None): None, (2, f"http://{long}/"): long, (3, "http://s.bad.com"): "bad.com"}
