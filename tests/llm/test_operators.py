@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from outline_jobs.llm import decontamination, factorization, line_dedup, main_text, mixing, ngram_join, repair, url_lists, warc, weighted_sampling
@@ -129,12 +130,29 @@ def test_token_files(spark, docs, none, rows):
     assert repair.encoded(none, repair.tokenizer_path()).count() == 0
 
 
+def test_words_are_cut_as_the_tokenizer_cuts():
+    enc, r = repair.Encoder(repair.tokenizer_path()), random.Random(1)
+    signs = list("abzAZ .,'\n\t0129_-<|>éÉßñİıſ²½٣ ́\x0b\x1c\u2003\u3000\x85中Ωж!?&") + ["<|endoftext|>", "<|EndOfText|>", "don't", "I'LL", "word. ", "two, ", " \u0301"]
+    texts = ["".join(r.choices(signs, k=r.randrange(40))) for _ in range(20_000)] + ["", " ", " a ", "\n", "e\u0301 .", "x" * 100_000]
+    want = [e.ids + [repair.END] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 5000):
+        found, n = enc.places(pa.array(texts[a : a + 5000]))
+        ids = enc.ids[np.concatenate([np.arange(e - k, e) for e, k in zip(np.cumsum(enc.n)[found], enc.n[found])])]
+        edge = np.cumsum(np.add.reduceat(enc.n[found], np.cumsum(n) - n))
+        assert [x.tolist() for x in np.split(ids, edge[:-1])] == want[a : a + 5000]
+
+
+def test_token_files_of_null_ids(spark):
+    d = spark.createDataFrame([(None, "a b"), (-1, "c"), (None, None), (2**60, "d")], "doc_id long, text string")
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in repair.encoded(d, repair.tokenizer_path()).orderBy("start").collect()] == [(None, 0, 1), (None, 1, 3), (-1, 4, 2), (2**60, 6, 2)]
+
+
 def test_grammar_random_access():
     enc = repair.encoder(repair.tokenizer_path())
     texts = ["the cat sat on the mat " * 40, "", "on the mat the dog " * 30]
-    found = enc.words(texts)
-    size = enc.tokenizer.get_vocab_size()
-    symbols, rules, n_symbols, n_ids = repair.compress(found, enc.ids, size)
+    found, n = enc.places(pa.array(texts))
+    size = enc.size
+    symbols, rules, n_symbols, n_ids = repair.compress(found, n, enc.ids, enc.n, size)
     shard = repair.Shard(repair.packed(symbols, rules, size, [1, 2, 3], n_symbols, n_ids))
     assert len(rules) and len(symbols) < sum(n_ids) / 3
     for k, t in enumerate(texts):
@@ -250,12 +268,12 @@ def test_pipeline(spark, tmp_path, rows):
 
 def test_grammar_leaves_no_repeated_pair():
     enc = repair.encoder(repair.tokenizer_path())
-    size, r = enc.tokenizer.get_vocab_size(), random.Random(5)
+    size, r = enc.size, random.Random(5)
     passage = " ".join(f"word{k} thing" for k in range(400))
     texts = [passage] * 100 + [f"start{k} {passage} aaaaaaa aaaaaaaa" for k in range(20)] + [" ".join(r.choices(["one", "two", "three", "four"], k=300)) for _ in range(20)] + [""]
-    found = enc.words(texts)
-    symbols, rules, n_symbols, n_ids = repair.compress(found, enc.ids, size)
-    assert n_symbols[:100] == [2] * 100  # the whole passage is one symbol, then the end
+    found, n = enc.places(pa.array(texts))
+    symbols, rules, n_symbols, n_ids = repair.compress(found, n, enc.ids, enc.n, size)
+    assert n_symbols[:100].tolist() == [2] * 100  # the whole passage is one symbol, then the end
     seen, last, twice = set(), None, []
     for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
         if repair.END in pair or pair == last:  # of a run of one symbol every other pair
