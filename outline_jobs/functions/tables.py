@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of its own under spark.checkpoint.dir: computed once, plans stay short, lost executors cost nothing.
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir.
 
-    Only where the session has no such setting, as in tests on one machine, is a temporary folder made.
+    Only where a session on one machine has no such setting, as in tests, is a temporary folder made.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own: computed once, plans stay short, lost executors cost nothing."""
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(d: DataFrame, name: str, c: Column) -> DataFrame:
+    """d with a column that is computed once for each row, however often it is used and filtered on after that."""
+    return d.select("*", F.explode(F.array(c)).alias(name))

@@ -25,9 +25,16 @@ def word_count(c: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " ")))
 
 
+#: Letters that full case folding turns into several.
+FOLDED = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def fold(c: Column) -> Column:
-    """Lower case with the sharp s spelled out, close to full case folding."""
-    return F.regexp_replace(F.lower(c), "ß", "ss")
+    """Full case folding of Latin and Greek: lower case, with the letters that it makes other or more letters spelled out. Rarer ones (Armenian, Cherokee) are only made small."""
+    out = F.translate(F.lower(c), "ſςẞµ", "sσßμ")
+    for one, many in FOLDED.items():
+        out = F.replace(out, F.lit(one), F.lit(many))
+    return out
 
 
 def tokens(c: Column) -> Column:
@@ -42,13 +49,6 @@ def strip_markdown(c: Column) -> Column:
     return strip(bare)
 
 
-def heading_text(c: Column) -> Column:
-    """A block's visible text, from which its label is read: without heading marks, a heading's trailing footnote marks, and bold marks around the whole."""
-    bare = F.regexp_replace(c, rf"^#{{1,6}}[{WS}]+", "")
-    bare = F.when(c.startswith("#"), F.regexp_replace(bare, rf"(?is)(?:[{WS}]*<sup\b[^>]*>.*?</sup>)+[{WS}]*$", "")).otherwise(bare)
-    return strip(F.regexp_replace(bare, r"(?s)^\*\*(.*)\*\*$", "$1"))
-
-
 def repeat_key(c: Column) -> Column:
     """What is left of a running header when page numbers change."""
     return F.lower(strip(F.regexp_replace(squeeze(c), rf"{DIGIT}+", "#")))
@@ -79,7 +79,7 @@ def line_label(c: Column) -> Column:
     return out
 
 
-#: A label of the block outline and its title.
+#: A label of the block outline and its title, Roman numbers, decimal labels.
 BLOCK_LABEL = rf"(?s)^({DIGIT}+(?:\.{DIGIT}+)*[.)]?|\([A-Za-z0-9]+\)|[A-Za-z]+[.)])[{WS}]+(.+)$"
 ROMAN = r"^(?=.)M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outline_jobs.functions import text as tx
+from outline_jobs.functions.tables import once
 
 SCANNED_BELOW, HEADER_SHARE, BATCH, MAX_DEPTH, TOC_RUN = 50, 0.6, 60, 6, 3
+#: Fixed values.
 PAGE_NUMBER = rf"(?i)^(page[{tx.WS}]+)?{tx.DIGIT}+([{tx.WS}]*/[{tx.WS}]*{tx.DIGIT}+)?$"
 TOC_LINE = rf"\.{{3,}}[{tx.WS}]*{tx.DIGIT}+[{tx.WS}]*$|[^{tx.WS}][{tx.WS}]{{2,}}{tx.DIGIT}{{1,4}}[{tx.WS}]*$"
 TOC_TITLE = rf"(?i)^(table of contents|contents|目[{tx.WS}]*录)[{tx.WS}]*$"
@@ -19,7 +21,6 @@ HEADING = rf"^(#{{1,6}})[{tx.WS}]+(.*)$"
 BOLD_LINE = rf"^\*\*(.+?)\*\*[{tx.WS}:：]*$"
 
 
-
 def by_line():
     return Window.partitionBy("doc_id").orderBy("line_idx")
 
@@ -28,11 +29,6 @@ def before():
     return by_line().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def once(d: DataFrame, name: str, c: Column) -> DataFrame:
-    """d with a column that is computed once for each row, however often it is used and filtered on after that."""
-    return d.select("*", F.explode(F.array(c)).alias(name))
-
-
 def flag_scanned_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("scanned", F.length(tx.strip(F.coalesce("plain_text", F.lit("")))) < SCANNED_BELOW)
 
@@ -194,13 +190,13 @@ def assign_lines(lines: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def assemble_line_nodes(owned: DataFrame, headings: DataFrame, titles: DataFrame) -> DataFrame:
-    """One row for each node, the root (node_id 'root', ord 0) first: own text, pages of the body, lines, OCR."""
+    """One row for each node, the root (node_id 'root', ord 0; titled by the document's id, which is its file's name, where no line is left) first: own text, pages of the body, lines, OCR."""
     rows = F.sort_array(F.collect_list(F.struct("line_idx", "text")))
     body = owned.groupBy("doc_id", F.coalesce("owner_line", F.lit(-1)).alias("_k")).agg(
         tx.strip(F.array_join(F.transform(rows, lambda r: r["text"]), "\n")).alias("_text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.max("line_idx").alias("_last"), F.max("from_ocr").alias("_ocr")
     )
     node = headings.select("doc_id", "node_id", "label", F.col("text").alias("title"), "depth", "line_idx", F.col("line_idx").alias("_k"), F.coalesce("parent_line", F.lit(-1)).alias("_p"))
-    root = titles.select("doc_id", F.lit("root").alias("node_id"), F.lit("").alias("label"), F.coalesce("title", F.lit("")).alias("title"), F.lit(0).alias("depth"), F.lit(0).alias("line_idx"), F.lit(-1).alias("_k"), F.lit(None).cast("int").alias("_p"))
+    root = titles.select("doc_id", F.lit("root").alias("node_id"), F.lit("").alias("label"), F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), F.lit(0).alias("depth"), F.lit(0).alias("line_idx"), F.lit(-1).alias("_k"), F.lit(None).cast("int").alias("_p"))
     every = node.unionByName(root)
     names = every.select("doc_id", F.col("_k").alias("_p"), F.col("node_id").alias("parent_id"))
     out = every.join(body, ["doc_id", "_k"], "left").join(names, ["doc_id", "_p"], "left")

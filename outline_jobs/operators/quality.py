@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outline_jobs.functions import text as tx
@@ -10,6 +10,11 @@ from outline_jobs.functions import text as tx
 MISSING_LEAST, MISSING_SHARE, BACKWARD = 20, 5, 20
 
 
+def fingerprint(*fields: str) -> Column:
+    """A hash of the named columns as JSON with their nulls: equal exactly if the requests are."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
 def document_hash(files: DataFrame) -> DataFrame:
     """Rows of the binaryFile source -> path, document_hash."""
     return files.select("path", F.sha2("content", 256).alias("document_hash"))
@@ -68,3 +73,35 @@ def selection_errors(selection: DataFrame, page_counts: DataFrame) -> DataFrame:
     p = F.col("pages")
     bad = (F.size(F.array_distinct(p)) != F.size(p)) | (F.sort_array(p) != p) | (F.array_min(p) < 1) | (F.array_max(p) > F.col("n_pages"))
     return selection.join(page_counts, "doc_id").where(bad).select("doc_id", F.lit("pages must be unique, ascending and within the document").alias("error"))
+
+
+def page_request(pages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """doc_id, page, fingerprint: what a proposal must name to be for exactly this page of this revision."""
+    return pages.join(revisions, "doc_id").select("doc_id", "page", fingerprint("document_hash", "page", "revision", "markdown").alias("fingerprint"))
+
+
+def route_pages(pages: DataFrame, proposals: DataFrame, overrides: DataFrame) -> dict[str, DataFrame]:
+    """pages (as repaired), assessments, repairs, overrides (what they change), revisions (doc_id, original_revision, revision).
+
+    proposals: doc_id, page, kind, fingerprint, markdown, order_only; a proposal counts for pages that aren't accepted, if bound to them, and only
+    where it reorders and may. overrides (doc_id, page, markdown) always replace what is there then.
+    """
+    keys = ["doc_id", "page"]
+    first = canonical_revision(pages)
+    assessments = assess_pages(pages)
+    p = proposals.select(*keys, "kind", F.col("fingerprint").alias("_given"), F.col("markdown").alias("proposed"), "order_only", F.lit(True).alias("_found"))
+    d = pages.select(*keys, "markdown").join(assessments.select(*keys, F.col("status").alias("_status")), keys).join(page_request(pages, first), keys).join(p, keys, "left")
+    status = F.when(F.col("_status") == "ACCEPT", "skipped").when(F.col("_found").isNull(), "unavailable")
+    bound = F.coalesce((F.col("kind") == "visual") & (F.col("_given") == F.col("fingerprint")), F.lit(False))
+    status = status.when(~bound | F.col("proposed").isNull(), "rejected").otherwise("returned")
+    reason = F.when(F.col("_status") == "ACCEPT", "ACCEPT").when(F.col("_found").isNull(), "no proposal").when(~bound, "REPLAY_FINGERPRINT_MISMATCH").when(F.col("proposed").isNull(), "invalid repair response")
+    d = d.select(*keys, "markdown", "proposed", "order_only", status.alias("status"), reason.alias("reason"))
+    r = reconcile_pages(d.where("status = 'returned'").select(*keys, "markdown", "proposed", "order_only"), keys).select(*keys, "omissions", "additions", "order_changed", "adopted")
+    d = d.join(r, keys, "left").withColumn("adopted", F.coalesce("adopted", F.lit(False)))
+    repairs = d.select(*keys, "status", "reason", "omissions", "additions", "order_changed", "adopted", F.when(F.col("adopted"), "replay").otherwise("extraction").alias("adopted_source"))
+    mended = pages.join(d.where("adopted").select(*keys, F.col("proposed").alias("_new")), keys, "left").withColumn("markdown", F.coalesce("_new", "markdown")).drop("_new")
+    o = overrides.select(*keys, F.col("markdown").alias("proposed"))
+    changed = reconcile_pages(mended.select(*keys, "markdown").join(o, keys).withColumn("order_only", F.lit(False)), keys).select(*keys, "omissions", "additions", "order_changed")
+    final = mended.join(o, keys, "left").withColumn("markdown", F.coalesce("proposed", "markdown")).select(*pages.columns)
+    revisions = first.withColumnRenamed("revision", "original_revision").join(canonical_revision(final), "doc_id")
+    return {"pages": final, "assessments": assessments, "repairs": repairs, "overrides": changed, "revisions": revisions}

@@ -1,8 +1,7 @@
 """Node tables of outline trees: depths and paths, labels, patches, pruning, moving, statistics, nested JSON at the edges.
 
-A node table has doc_id, node_id, parent_id (null for the root), sibling_pos, label, title, text. Depth and path come from a
-level-by-level join that ends when no node is left; each round is written, so plans stay short. Nodes that no path from the
-root reaches (cycles, lost parents) are left out.
+A node table has doc_id, node_id, parent_id (null for the root), sibling_pos, label, title, text. Depth and path come from a join that doubles
+its reach each round; each round is written, so plans stay short. Nodes that no path from the root reaches (cycles, lost parents) are left out.
 """
 
 from __future__ import annotations
@@ -17,36 +16,34 @@ from pyspark.sql import functions as F
 from outline_jobs.functions import text as tx
 from outline_jobs.functions.tables import written
 
-MOST_ROUNDS = 10_000
 
+def chains(nodes: DataFrame, item: Column | None = None) -> DataFrame:
+    """doc_id, node_id, node_path: the ids from the root (parent_id null) down to the node; items: what item is along it.
 
-def by_level(nodes: DataFrame, start: Column, step: Column, kind: str) -> DataFrame:
-    """doc_id, node_id, depth, node_path and value: of the root `start`, of others `step` from own columns and value of the parent (_value)."""
-    slim = written(nodes.drop("text", "depth", "node_path"), "tree-nodes")
-    front = written(slim.where("parent_id is null").select("doc_id", "node_id", F.lit(0).alias("depth"), F.array("node_id").alias("node_path"), start.cast(kind).alias("value")), "tree-level")
-    done = front
-    for _ in range(MOST_ROUNDS):
-        up = front.select("doc_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("_d"), F.col("node_path").alias("_path"), F.col("value").alias("_value"))
-        front = slim.join(up, ["doc_id", "parent_id"]).where(~F.array_contains("_path", F.col("node_id")))
-        front = written(front.select("doc_id", "node_id", (F.col("_d") + 1).alias("depth"), F.concat("_path", F.array("node_id")).alias("node_path"), step.cast(kind).alias("value")), "tree-level")
-        if not front.take(1):
-            return done
-        done = done.unionByName(front)
-    raise RuntimeError("the trees are deeper than the bound on rounds")
+    Every round doubles how far up each node sees, so rounds are the logarithm of the depth. Nodes of cycles, with lost parents, and all below them are left out.
+    """
+    one = F.struct(F.col("node_id").alias("id"), (F.lit(None).cast("string") if item is None else item).alias("item"))
+    reach = written(nodes.select("doc_id", "node_id", F.col("parent_id").alias("_up"), F.array(one).alias("_chain")), "tree-chains")
+    while reach.where("_up is not null").take(1):
+        above = reach.select("doc_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("_chain").alias("_before"))
+        more = reach.where("_up is not null").join(above, ["doc_id", "_up"]).where(~F.exists("_before", lambda x: x["id"] == F.col("node_id")))
+        more = more.select("doc_id", "node_id", F.col("_next").alias("_up"), F.concat("_before", "_chain").alias("_chain"))
+        reach = written(reach.where("_up is null").unionByName(more), "tree-chains")
+    return reach.select("doc_id", "node_id", F.transform("_chain", lambda x: x["id"]).alias("node_path"), F.transform("_chain", lambda x: x["item"]).alias("items"))
 
 
 def recompute_depths(nodes: DataFrame) -> DataFrame:
-    found = by_level(nodes, F.lit(""), F.lit(""), "string").drop("value")
+    found = chains(nodes).select("doc_id", "node_id", (F.size("node_path") - 1).alias("depth"), "node_path")
     return nodes.drop("depth", "node_path").join(found, ["doc_id", "node_id"])
 
 
 def renumber_nodes(nodes: DataFrame) -> DataFrame:
     """Labels 1, 1.1, 1.2, 2 … from the order of siblings; the root keeps its own."""
     place = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("sibling_pos", "node_id")).cast("string")
-    placed = nodes.withColumn("_place", place)
-    found = by_level(placed, F.lit(""), F.when(F.col("_value") == "", F.col("_place")).otherwise(F.concat("_value", F.lit("."), "_place")), "string")
+    found = chains(nodes.withColumn("_place", place), F.col("_place")).select("doc_id", "node_id", (F.size("node_path") - 1).alias("depth"), "node_path", "items")
     out = nodes.drop("depth", "node_path").join(found, ["doc_id", "node_id"])
-    return out.withColumn("label", F.when(F.col("depth") == 0, F.col("label")).otherwise(F.col("value"))).drop("value")
+    number = F.array_join(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), ".")
+    return out.withColumn("label", F.when(F.col("depth") == 0, F.col("label")).otherwise(number)).drop("items")
 
 
 def patch_nodes(nodes: DataFrame, patches: DataFrame) -> DataFrame:
@@ -89,46 +86,112 @@ def tree_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+def tree_issues(nodes: DataFrame) -> DataFrame:
+    """doc_id, ord, node_id, issue, path: repeated ids, empty titles but for the root's, and wrong depths, with the labels (or titles) that lead to the parent.
+
+    nodes as for tree_stats, with node_key and parent_key that are unique in a document.
+    """
+    again = F.row_number().over(Window.partitionBy("doc_id", "node_id").orderBy("ord")) > 1
+    name = F.when(F.col("parent_key").isNull(), "Root").when(F.coalesce("label", F.lit("")) != "", F.col("label")).otherwise(F.coalesce("title", F.lit("")))
+    found = chains(nodes.select("doc_id", F.col("node_key").alias("node_id"), F.col("parent_key").alias("parent_id"), name.alias("_name")), F.col("_name"))
+    above = F.array_join(F.slice("items", 1, F.greatest(F.size("items") - 1, F.lit(0))), " > ")
+    d = nodes.withColumn("_again", again).join(found.select("doc_id", F.col("node_id").alias("node_key"), above.alias("path")), ["doc_id", "node_key"], "left")
+    issue = F.array(
+        F.when(F.col("_again"), "duplicate_id"), F.when((tx.strip(F.coalesce("title", F.lit(""))) == "") & (F.col("node_id") != "root"), "empty_title"),
+        F.when(~F.col("depth").eqNullSafe(F.col("true_depth")), "depth_mismatch"),
+    )
+    return d.select("doc_id", "ord", "node_id", F.explode(F.filter(issue, lambda x: x.isNotNull())).alias("issue"), "path")
+
+
 _FLAT = "doc_id long, node_id string, parent_id string, ord long, sibling_pos long, label string, title string, text string, depth long, true_depth long"
+_FIELDS = ("id", "label", "title", "text", "depth", "children")
+
+
+def _root(raw: str | None):
+    """The root of a tree's JSON text, None where there is none or it is nested too deep to be read."""
+    try:
+        return json.loads(raw or "")["root"]
+    except (ValueError, KeyError, TypeError, RecursionError):
+        return None
+
+
+def _walk(root) -> Iterator[tuple]:
+    """(node, parent's id, place among its siblings, depth) in preorder."""
+    todo = [(root, None, 0, 0)]
+    while todo:
+        node, parent, place, depth = todo.pop()
+        yield node, parent, place, depth
+        if isinstance(node, dict) and isinstance(node.get("children"), list):
+            todo += [(c, node.get("id"), k, depth + 1) for k, c in reversed(list(enumerate(node["children"])))]
 
 
 def flatten_trees(trees: DataFrame) -> DataFrame:
-    """(doc_id, tree: JSON text with a root) -> node rows in preorder; depth as given, true_depth as found. Texts that aren't trees give no rows."""
+    """(doc_id, tree: JSON text with a root) -> node rows in preorder; depth as given, true_depth as found. Texts that aren't trees give no rows (validate_trees tells them)."""
+    text = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, raw in zip(batch["doc_id"], batch["tree"]):
+                nodes = [x for x in _walk(_root(raw)) if isinstance(x[0], dict)]
+                for n, (node, parent, place, depth) in enumerate(nodes):
+                    given = node.get("depth") if type(node.get("depth")) is int else None
+                    rows.append((doc, text(node.get("id")), text(parent), n, place, text(node.get("label")), text(node.get("title")), text(node.get("text")), given, depth))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _FLAT.split(", ")])
+            yield out.astype({"depth": "Int64"})
+
+    return trees.select("doc_id", "tree").mapInPandas(run, _FLAT)
+
+
+def validate_trees(trees: DataFrame) -> DataFrame:
+    """doc_id, ord (null for the whole), node_id, error: what keeps a JSON text from being a tree of nodes with exactly the six fields, texts, unique ids and true depths."""
+    kind = "doc_id long, ord long, node_id string, errors array<string>"
+
+    def faults(node, depth: int) -> list[str]:
+        if not isinstance(node, dict):
+            return ["node must be an object"]
+        out = [] if set(node) == set(_FIELDS) else ["unexpected or missing fields"]
+        out += [f"{f} must be a string" for f in _FIELDS[:4] if not isinstance(node.get(f), str)]
+        out += [] if isinstance(node.get("id"), str) and node["id"] else ["empty, invalid or repeated id"]
+        out += [] if type(node.get("depth")) is int and node["depth"] == depth else ["wrong depth"]
+        return out + ([] if isinstance(node.get("children"), list) else ["children must be an array"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, raw in zip(batch["doc_id"], batch["tree"]):
                 try:
-                    root = json.loads(raw or "")["root"]
-                except (ValueError, KeyError, TypeError):
+                    whole = json.loads(raw or "")
+                except (ValueError, RecursionError):
+                    whole = None
+                if not isinstance(whole, dict) or set(whole) != {"root"}:
+                    rows.append((doc, None, None, ["expected exactly a root"]))
                     continue
-                open_, n = [(root, None, 0, 0)], 0
-                while open_:
-                    node, parent, place, depth = open_.pop()
-                    if not isinstance(node, dict):
-                        continue
-                    rows.append((doc, node.get("id"), parent, n, place, node.get("label"), node.get("title"), node.get("text"), node.get("depth"), depth))
-                    n += 1
-                    below = node.get("children") if isinstance(node.get("children"), list) else []
-                    open_ += [(c, node.get("id"), k, depth + 1) for k, c in reversed(list(enumerate(below)))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FLAT.split(", ")])
+                rows += [(doc, n, node["id"] if isinstance(node, dict) and isinstance(node.get("id"), str) else None, faults(node, depth)) for n, (node, _, _, depth) in enumerate(_walk(whole["root"]))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "node_id", "errors"]).astype({"ord": "Int64"})
 
-    return trees.select("doc_id", "tree").mapInPandas(run, _FLAT)
+    d = trees.select("doc_id", "tree").mapInPandas(run, kind)
+    again = F.col("node_id").isNotNull() & (F.col("node_id") != "") & (F.row_number().over(Window.partitionBy("doc_id", "node_id").orderBy("ord")) > 1)
+    d = d.withColumn("errors", F.when(again, F.array_union("errors", F.array(F.lit("empty, invalid or repeated id")))).otherwise(F.col("errors")))
+    return d.select("doc_id", "ord", "node_id", F.explode("errors").alias("error"))
 
 
 def nest_trees(nodes: DataFrame) -> DataFrame:
-    """Node rows -> (doc_id, tree: JSON text) with exactly id, label, title, text, depth, children; a document is one group."""
+    """Node rows -> (doc_id, tree: JSON text) with exactly id, label, title, text, depth, children; a document is one group. Written from the leaves up, at any depth."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        made = {r.node_id: {"id": r.node_id, "label": r.label, "title": r.title, "text": r.text, "depth": int(r.depth), "children": []} for r in g.itertuples()}
-        root = None
-        for r in g.sort_values(["sibling_pos", "node_id"]).itertuples():
-            if r.parent_id is None:
-                root = made[r.node_id]
-            elif r.parent_id in made:
-                made[r.parent_id]["children"].append(made[r.node_id])
-        return pd.DataFrame({"doc_id": [g["doc_id"].iloc[0]], "tree": [json.dumps({"root": root}, ensure_ascii=False)]})
+        g = g.sort_values(["sibling_pos", "node_id"], kind="stable")
+        below: dict = {}
+        for r in g.itertuples():
+            below.setdefault(r.parent_id, []).append(r)
+        order = [(r, below.pop(r.node_id, [])) for r in below.pop(None, [])[-1:]]
+        for _, children in order:
+            order += [(c, below.pop(c.node_id, [])) for c in children]
+        made: dict = {}
+        for r, children in reversed(order):
+            own = json.dumps({"id": r.node_id, "label": r.label, "title": r.title, "text": r.text, "depth": int(r.depth)}, ensure_ascii=False)
+            made[r.Index] = f'{own[:-1]}, "children": [{", ".join(made.pop(c.Index) for c in children)}]}}'
+        return pd.DataFrame({"doc_id": [g["doc_id"].iloc[0]], "tree": [f'{{"root": {made[order[0][0].Index] if order else "null"}}}']})
 
     return nodes.select("doc_id", "node_id", "parent_id", "sibling_pos", "label", "title", "text", "depth").groupBy("doc_id").applyInPandas(run, "doc_id long, tree string")
 

@@ -2,7 +2,8 @@
 
 Six lines make a page. Slots 0, 2 and 4 begin with numbered headings, odd documents have a lettered heading in slot 3, each page
 has a running header and a page number; some documents, by doc_id, have a table of contents, numbering gaps, repeated
-labels, bold lines, tables or a scanned last page.
+labels, bold lines, tables or a scanned last page. The plain corpus is made of the same documents without lettered headings, gaps, repeated labels,
+bold lines and tables of contents: there the decisions on headings have a closed form.
 """
 
 from __future__ import annotations
@@ -30,20 +31,21 @@ _LINES = """
 """
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def corpus(spark: SparkSession, sf_dir: str, plain: bool = False) -> dict[str, DataFrame]:
     """pages (doc_id, page, markdown, plain_text, table_count, blocks, …) and ocr (doc_id, page, text)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
     raw = docs.select("doc_id", "source", F.floor((F.size("_lines") - 1) / 6).cast("int").alias("_last"), F.posexplode("_lines").alias("k", "line"))
-    page, slot, odd = F.floor(F.col("k") / 6).cast("int") + 1, F.col("k") % 6, F.col("doc_id") % 2 == 1
+    page, slot, odd = F.floor(F.col("k") / 6).cast("int") + 1, F.col("k") % 6, (F.col("doc_id") % 2 == 1) & F.lit(not plain)
+    defect = lambda n, r: (F.col("doc_id") % n == r) & F.lit(not plain)
     start = F.trim(F.substring("line", 1, 24))
     t = F.when(start == "", "Item").otherwise(start)
     body = F.when(odd, F.col("line")).otherwise(F.concat(F.lit("Text "), "line", F.lit(" end.")))
     number = page.cast("string")
-    third = F.when(F.col("doc_id") % 7 == 3, ".3 ").when(F.col("doc_id") % 11 == 4, ".1 ").otherwise(".2 ")
+    third = F.when(defect(7, 3), ".3 ").when(defect(11, 4), ".1 ").otherwise(".2 ")
     head = F.when(slot == 0, F.concat(F.lit("# "), number, F.lit(". "), t)).when(slot == 2, F.concat(F.lit("## "), number, F.lit(".1 "), t))
     head = head.when(slot == 4, F.concat(F.lit("## "), number, third, t)).when((slot == 3) & odd, F.concat(F.lit("(a) "), t))
-    text = F.when((slot == 5) & (F.col("doc_id") % 13 == 2), F.concat(F.lit("**"), body, F.lit("**"))).otherwise(body)
-    toc = lambda words: F.when((F.col("k") == 0) & (F.col("doc_id") % 5 == 1), words)
+    text = F.when((slot == 5) & defect(13, 2), F.concat(F.lit("**"), body, F.lit("**"))).otherwise(body)
+    toc = lambda words: F.when((F.col("k") == 0) & defect(5, 1), words)
     made = [(F.lit(-10), F.when(slot == 0, F.concat(F.lit("CORPUS "), "source"))), (F.lit(-9), toc("Contents")), (F.lit(-8), toc("Part one ..... 1")), (F.lit(-7), toc("Part two ..... 2")), (F.lit(-6), toc("Part three ..... 3")), (slot * 10, head), (slot * 10 + 1, text), (F.lit(100), F.when(slot == 0, number))]
     blocks = raw.select("doc_id", "_last", page.alias("page"), F.explode(F.array(*[F.struct(o.cast("int").alias("ord"), b.alias("block")) for o, b in made])).alias("b")).where("b.block is not null")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda x: x["block"]), "\n\n")
@@ -59,11 +61,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"pages": full, "ocr": pages.where("scanned").select("doc_id", "page", F.col("bare").alias("text"))}
 
 
-#: CTEs pages and ocr for DuckDB.
-SQL = f"""raw AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
-lines0 AS ({_LINES}),
-blocks0 AS ({_BLOCKS.replace("FROM lines", "FROM lines0")}),
+def ctes(plain: bool = False) -> str:
+    """CTEs pages and ocr for DuckDB, blocks0 with the blocks of each page."""
+    blocks, lines = _BLOCKS, _LINES
+    if plain:
+        for n, r in ((7, 3), (11, 4), (13, 2), (5, 1), (2, 1)):
+            blocks = blocks.replace(f"doc_id % {n} = {r}", "false")
+        lines = lines.replace("doc_id % 2 = 0", "true")
+    return f"""raw AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+lines0 AS ({lines}),
+blocks0 AS ({blocks.replace("FROM lines", "FROM lines0")}),
 pages0 AS (SELECT doc_id, page, string_agg(block, chr(10) || chr(10) ORDER BY ord, block) AS markdown FROM blocks0 GROUP BY doc_id, page),
 pages1 AS (SELECT *, replace(replace(markdown, '#', ''), '**', '') AS bare, doc_id % 17 = 6 AND page = max(page) OVER (PARTITION BY doc_id) AS scanned, CASE WHEN doc_id % 9 = 1 THEN 1 ELSE 0 END AS table_count FROM pages0),
 pages AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS document_hash, page, markdown, CASE WHEN scanned THEN '' ELSE bare END AS plain_text, table_count FROM pages1),
 ocr AS (SELECT doc_id, page, bare AS text FROM pages1 WHERE scanned)"""
+
+
+SQL = ctes()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outline_jobs.functions import text as tx
+from outline_jobs.functions.tables import once
 from outline_jobs.operators import lines as op
 from outline_jobs.plans import corpus
 from outline_jobs.plans.line_outline import LineOutline
@@ -81,7 +82,7 @@ headings AS (SELECT *, path || '-' || substr(sha1(lower({strip(squeeze('text'))}
 o0 AS (SELECT m.*, h.line_idx AS h, last_value(h.line_idx IGNORE NULLS) OVER (PARTITION BY m.doc_id ORDER BY m.line_idx) AS owner_line FROM marked m LEFT JOIN headings h ON h.doc_id = m.doc_id AND h.line_idx = m.line_idx WHERE m.noise IS NULL),
 owned AS (SELECT doc_id, line_idx, text, page, from_ocr, noise, owner_line FROM o0 WHERE h IS NULL),
 body AS (SELECT doc_id, coalesce(owner_line, -1) AS k, {strip("string_agg(text, chr(10) ORDER BY line_idx)")} AS text, min(page) AS page_start, max(page) AS page_end, max(line_idx) AS last, bool_or(from_ocr) AS from_ocr FROM owned GROUP BY ALL),
-every AS (SELECT doc_id, node_id, label, text AS title, depth, line_idx, line_idx AS k, coalesce(parent_line, -1) AS p FROM headings UNION ALL SELECT doc_id, 'root', '', coalesce(title, ''), 0, 0, -1, NULL FROM titles),
+every AS (SELECT doc_id, node_id, label, text AS title, depth, line_idx, line_idx AS k, coalesce(parent_line, -1) AS p FROM headings UNION ALL SELECT doc_id, 'root', '', coalesce(title, CAST(doc_id AS VARCHAR)), 0, 0, -1, NULL FROM titles),
 nodes AS (SELECT e.doc_id, e.node_id, u.node_id AS parent_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.k) - 1 AS ord, e.label, e.title, coalesce(b.text, '') AS text, e.depth, page_start, page_end, e.line_idx AS line_start, greatest(e.line_idx, coalesce(last, 0)) AS line_end, coalesce(b.from_ocr, false) AS from_ocr, e.k AS node_key, e.p AS parent_key
     FROM every e LEFT JOIN body b ON b.doc_id = e.doc_id AND b.k = e.k LEFT JOIN every u ON u.doc_id = e.doc_id AND u.k = e.p)"""
 
@@ -118,7 +119,7 @@ def _modelled(name, *columns):
 
 def _label_query(spark, sf_dir):
     lines = stages(spark, sf_dir)["lines"].select("doc_id", "line_idx", tx.strip_markdown(F.col("text")).alias("bare"))
-    return op.once(lines, "l", tx.line_label(F.col("bare"))).select("doc_id", "line_idx", "bare", "l.label", "l.title", "l.level")
+    return once(lines, "l", tx.line_label(F.col("bare"))).select("doc_id", "line_idx", "bare", "l.label", "l.title", "l.level")
 
 
 _FLAGS = {
@@ -134,6 +135,10 @@ def _flags(rule):
     return lambda spark, sf_dir: stages(spark, sf_dir)["flags"].where(F.col("rule") == rule).select("doc_id", "node_id", "detail")
 
 
+def _all_flags(spark, sf_dir):
+    return stages(spark, sf_dir)["flags"]
+
+
 def flagship(spark, sf_dir):
     """Sections, characters of own text and numbering gaps of each document."""
     nodes = stages(spark, sf_dir)["nodes"]
@@ -169,7 +174,8 @@ _ALL = {
     "assign_lines": (_stage("owned", "doc_id", "line_idx", "owner_line"), "SELECT doc_id, line_idx, owner_line FROM owned", False),
     "assemble_line_nodes": (_stage("nodes", *_NODE), f"SELECT {', '.join(_NODE)} FROM nodes", False),
     "assemble_modelled_nodes": (_modelled("nodes", *_NODE), f"SELECT {', '.join(_NODE)} FROM nodes", True),
-    "flag_document": (_flags("orphan_body"), _FLAGS["orphan_body"], False),
+    "flag_document": (lambda s, d: _all_flags(s, d).where("rule in ('orphan_body', 'no_headings')").select("doc_id", "rule", "detail"), f"SELECT doc_id, 'orphan_body' AS rule, detail FROM ({_FLAGS['orphan_body']}) UNION ALL SELECT doc_id, 'no_headings', 'no heading was found' FROM nodes GROUP BY doc_id HAVING max(node_key) < 0", False),
+    "line_outline_errors": (_stage("errors", "doc_id", "error"), "SELECT DISTINCT doc_id, 'no text' AS error FROM pages WHERE doc_id NOT IN (SELECT doc_id FROM lines)", False),
     "flag_numbering_gaps": (_flags("numbering_gap"), _FLAGS["numbering_gap"], False),
     "flag_duplicate_labels": (_flags("duplicate_label"), _FLAGS["duplicate_label"], False),
     "flag_empty_sections": (_flags("empty_section"), _FLAGS["empty_section"], False),
