@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -38,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see, under spark.checkpoint.dir.
 
-    Only where the session has no such setting, as in tests on one machine, is a temporary one made.
+    Only where a session on one machine has no such setting, as in tests, is a temporary one made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -55,6 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(docs whose own columns of these names are called own_..., what each of its columns is called then): room for an operator's results."""
+    found: list[str] = []
+    for c in docs.columns:
+        new = c
+        while new in names or (new != c and (new in docs.columns or new in found)):
+            new = f"own_{new}"
+        found.append(new)
+    return docs.toDF(*found), found
+
+
 def put(folder: str, name: str, content: bytes) -> None:
     """Writes a file of the shared folder under its name in one move."""
     from pyarrow import fs

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target of words is shared out by weight and stops at `most` times its size. Every document gets
-the certain whole copies floor(target / size of the source); the rest of the target is drawn: each document
-has inclusion odds p / (1 - p), p being the fractional part, and random odds u / (1 - u), u from a hash of
-its key. Documents are ranked by random odds over inclusion odds and the first are taken, up to the place
-where the words taken come nearest to what is left of the target.
+A source's target of words is shared out by weight and stops at `most` times its size. A document's expected copies are its source's
+share (target / size of the source), leaned towards short documents: share + min(share, most - share) / 2 * (lean - mean lean of the source), where
+lean = LEAN / (size + LEAN) and the mean is by words. The words expected are then exactly the target, and no document is expected more than
+`most` times. The whole copies among them are certain; the rest, p, is drawn: each document has inclusion odds p / (1 - p) of its own, and random
+odds u / (1 - u), u from a hash of its key. Documents are ranked by random odds over inclusion odds and the first are taken, up to the place
+where the words taken come nearest to what the whole copies leave of the target.
 
 The place is found without sorting a source in one task: ranks are counted in SPLIT bins per source, the bin
 that holds the place is found from those sums, and only documents of that bin are counted in finer bins,
@@ -13,7 +14,7 @@ then sorted. Each level divides the rows by SPLIT, so a source of any size ends
 Defined cases. Sizes of 0 (null or empty text, white space) take nothing and stay in the result with 0. A null
 source is a source of its own and sorts last. Repeated keys and equal ranks are ordered by a hash of the text;
 wholly equal rows are interchangeable and drawn as separate rows where they fall on the border. Empty tables
-give empty results; extra columns are kept.
+give empty results; extra columns are kept, those named as a result is as own_... (mixed_documents keeps all names).
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import SPACE, table, written
+from outline_jobs.llm.common import SPACE, apart, table, written
 
 #: Bins per source and level, and levels before the last sort.
 SPLIT, LEVELS = 1024, 2
+#: Words at which a document leans halfway; steps of the lean, which is a whole number so that its sums are exact.
+LEAN, STEPS = 256, 1024
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def words(text: Column) -> Column:
@@ -49,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     }).withColumn("_level", F.col("_left") / F.col("_over"))
     # The levels rise while sources are capped below their share and fall after that: the right one is the highest.
     found = level.withColumn("_found", F.max("_level").over(every))
-    return found.select("source", "source_size", F.least(most * F.col("source_size").cast("double"), F.coalesce("_found", F.lit(0.0)) * F.col("_w")).alias("target"))
+    return found.select(*sizes.columns, F.least(most * F.col("source_size").cast("double"), F.coalesce("_found", F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -62,24 +66,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
 
     With texts, the texts are read once more and not shuffled: what is decided is one border for each source.
     """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken") and (texts or c != text)]
+    docs, _ = apart(docs, RESULTS)
+    kept = [c for c in docs.columns if texts or c != text]
+    lean = F.floor(F.lit(LEAN * STEPS) / (F.col("size") + LEAN))
     sized = docs.select(*kept, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("_u"), F.xxhash64(text).alias("_tie"))
     slim = written(sized.select(*dict.fromkeys((key, source, "size", "_u", "_tie"))) if texts else sized, "mix-sizes")
-    sums = slim.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    sums = slim.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.sum(lean * F.col("size")).alias("_lean"))
     goal = written(targets(sums, weights, most), "mix-targets")
     # One row for each source: broadcast only as far as Spark's own size limit for it allows.
     g = goal.withColumnRenamed("source", "_source")
     with_targets = lambda d: d.join(g, d[source].eqNullSafe(g["_source"]), "left").drop("_source")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    room = F.least(share, most - share) / 2
+    expected = share + room * (lean - F.when(F.col("source_size") > 0, F.col("_lean") / F.col("source_size")).otherwise(0.0)) / STEPS
     rank = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
 
     def ranked(d: DataFrame) -> DataFrame:
-        d = with_targets(d).withColumn("_whole", F.floor(share + 1e-12)).withColumn("_p", F.greatest(share - F.col("_whole"), F.lit(0.0)))
+        d = with_targets(d).withColumn("_e", expected).withColumn("_whole", F.floor(F.col("_e") + 1e-12)).withColumn("_p", F.greatest(F.col("_e") - F.col("_whole"), F.lit(0.0)))
         # rank / (1 + rank) keeps the order and lies in (0, 1), so that it can be cut into bins.
         return d.withColumn("_rank", F.when(F.col("_p") > 0, rank)).withColumn("_place", F.col("_rank") / (1 + F.col("_rank")))
 
     rows = ranked(slim)
-    drawn = rows.where("_p > 0 and size > 0").select(F.col(source).alias("_s"), "size", "_rank", "_place", "_tie", key, (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_need"))
+    sure = rows.groupBy(F.col(source).alias("_ns")).agg((F.max("target") - F.sum(F.col("_whole") * F.col("size"))).alias("_need"))
+    sure = written(sure, "mix-needs")
+    drawn = rows.where("_p > 0 and size > 0").join(sure, rows[source].eqNullSafe(sure["_ns"])).select(F.col(source).alias("_s"), "size", "_rank", "_place", "_tie", key, "_need")
     low, high, before = F.lit(0.0), F.lit(1.0), F.lit(0).cast("long")
     here = drawn.withColumns({"_low": low, "_width": high - low, "_before": before})
     for level in range(LEVELS):
@@ -110,7 +120,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, in the columns of docs."""
-    return mix(docs, weights, most, texts=True).where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    names = apart(docs, RESULTS)[1]
+    found = mix(docs, weights, most, texts=True).where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,15 +132,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     (CAST('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(floor(262144.0::DOUBLE / (size + 256))::BIGINT * size)::BIGINT AS lean, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(w) OVER (ORDER BY 3 * source_size / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, max(level) OVER () AS found FROM l),
-t AS (SELECT source, source_size, least(3 * source_size::DOUBLE, coalesce(found, 0) * w) AS target FROM f),
-r AS (SELECT d.doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, floor(share + 1e-12)::BIGINT AS whole FROM r),
-o AS (SELECT *, greatest(share - whole, 0) AS p, target - whole * source_size AS need FROM q),
+t AS (SELECT source, source_size, lean, least(3 * source_size::DOUBLE, coalesce(found, 0) * w) AS target FROM f),
+r AS (SELECT d.doc_id, d.source, size, source_size, target, lean, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, share + least(share, 3 - share) / 2 * (floor(262144.0::DOUBLE / (size + 256)) - CASE WHEN source_size > 0 THEN lean / source_size ELSE 0 END) / 1024 AS e FROM r),
+q AS (SELECT *, floor(e + 1e-12)::BIGINT AS whole FROM x),
+o AS (SELECT *, greatest(e - whole, 0) AS p, target - sum(whole * size) OVER (PARTITION BY source) AS need FROM q),
 k AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM o),
 c AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rank IS NOT NULL AND upto - size / 2.0 <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
