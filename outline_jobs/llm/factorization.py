@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import WORD_BYTE, table, word_hashes
+from outline_jobs.llm.common import WORD_BYTE, apart, table, word_hashes
 
 SAMPLE, RANK, WORD_BITS, STEPS = 8000, 8, 16, 12
 UPDATES, BATCH, RATE, DECAY, SEED = 450, 128, 0.15, 1e-6, 5
@@ -129,13 +129,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
             x = [features(t, r) for t, r in zip(b["text"], b["n_chars"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["_label"], "place": [p for p, _ in x], "value": [v for _, v in x]})
 
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, place array<int>, value array<float>").toPandas()
+    rows = docs.select("doc_id", "text", measured(docs).alias("n_chars")).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, place array<int>, value array<float>").toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     return fit([(np.asarray(p, np.int32), np.asarray(v, np.float32)) for p, v in zip(rows["place"], rows["value"])], rows["label"].to_numpy(float))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a column score."""
+    """docs with a column score; an own column of that name is called own_score. Without a column n_chars, texts are measured."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size, whatever the input
 
     @F.pandas_udf("double")
@@ -143,7 +143,18 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
         m = shared.value
         return pd.Series([m.score(t, r) for t, r in zip(text, recorded)], dtype=float)
 
-    return docs.withColumn("score", score(F.col("text"), F.col("n_chars")))
+    docs = apart(docs, ("score",))[0]
+    return docs.withColumn("score", score(F.col("text"), measured(docs)))
+
+
+def measured(docs: DataFrame) -> Column:
+    return F.col("n_chars") if "n_chars" in docs.columns else F.length("text").cast("long")
+
+
+def accepted(docs: DataFrame, machine: Machine, least: float = 0.3) -> DataFrame:
+    """The rows of docs that score `least` or more, in the columns of docs."""
+    names = apart(docs, ("score",))[1]
+    return scored(docs, machine).where(F.col("score") >= least).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
