@@ -4,11 +4,12 @@ A text is the sequence of its neighbouring word pairs. An item is represented by
 edges: of the item's n-grams, a document window whose weighted similarity reaches the threshold lacks at most
 k = floor(n * (1 - t) / (1 + t)), so an edit inside lies k words from an edge or costs a whole run of n-grams, and with
 floor(k / gram) + 1 anchors side by side at least one is free of edits. Anchor lengths are rounded down to a ladder; of every rung,
-documents are fingerprinted every STRIDE pairs and anchors at STRIDE offsets, so that every alignment is met.
+documents are fingerprinted every STRIDE pairs and anchors at STRIDE offsets, so that an anchor free of edits is met wherever it lies.
 
 Fingerprints of 64 bits are cut into RADIUS + 1 blocks: two within RADIUS bits agree in a block, so looking up every block
 in an index finds all fingerprints within the radius. Each hit is verified by the exact weighted Jaccard similarity of
-word n-grams (weight: number of occurrences) between the item and the document's window of the item's length.
+word n-grams (weight: number of occurrences) between the item and the document's windows of the item's length that start within AROUND words of the
+anchor's own alignment, since words put in or left out before the anchor shift the best window.
 
 The benchmark is dealt into parts of at most PART_BYTES of text, each broadcast and passed over the documents; one part in practice.
 Documents are read where they are: no shuffle, and memory is bounded by CHUNK words.
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import WORD_PATTERN, mixed, shingle_hashes, table, word_hashes
+from outline_jobs.llm.common import WORD_PATTERN, apart, mixed, shingle_hashes, table, word_hashes
 
 #: Blocks are 16 bits wide.
-RADIUS, BITS, WIDTH, STRIDE, CHUNK, PART_BYTES = 3, 64, 16, 6, 8192, 8_000_000
+RADIUS, BITS, WIDTH, STRIDE, CHUNK, PART_BYTES, AROUND = 3, 64, 16, 6, 8192, 8_000_000, 6
 #: Window lengths in word pairs, from FIRST on each about three tenths above the last; shorter ones are met at every pair.
 FIRST = 7
 LADDER = [*range(1, FIRST), *(round(FIRST * 1.3**k) for k in range(40))]
@@ -132,12 +133,14 @@ class Index:
         starts, prints = (np.concatenate([x[k] for x in found.values()]) for k in (0, 1))
         for w, m in self.near(prints, rung):
             item = int(self.item_of[m])
-            at = min(max(int(starts[w] - self.place_of[m]), 0), max(len(words) - self.words[item], 0))
-            if (item, at) in tried:
-                continue
-            tried.add((item, at))
-            if (x := self.likeness(item, words, at)) >= self.threshold - 1e-9:
-                best[item] = max(best.get(item, (0.0, 0)), (x, -at))
+            last = max(len(words) - self.words[item], 0)
+            centre = int(starts[w] - self.place_of[m])
+            for at in {min(max(centre + d, 0), last) for d in range(-AROUND, AROUND + 1)}:
+                if (item, at) in tried:
+                    continue
+                tried.add((item, at))
+                if (x := self.likeness(item, words, at)) >= self.threshold - 1e-9:
+                    best[item] = max(best.get(item, (0.0, 0)), (x, -at))
         return [(self.ids[i], x, -at) for i, (x, at) in sorted(best.items())]
 
 
@@ -165,14 +168,13 @@ def _finder(shared, threshold: float, gram: int):
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: int = 5) -> DataFrame:
-    """docs with a column hits: an array of item_id, similarity, word_at."""
+    """docs with a column hits: an array of item_id, similarity, word_at; an own column of that name is called own_hits."""
     spark, hits = docs.sparkSession, []
     for items in parts_of(benchmark):
         shared = spark.sparkContext.broadcast(items)
-
         hits.append(_finder(shared, threshold, gram)(F.col("text")))
     none = F.array().cast("array<struct<item_id: bigint, similarity: double, word_at: bigint>>")
-    return docs.withColumn("hits", F.concat(*hits) if hits else none)
+    return apart(docs, ("hits",))[0].withColumn("hits", F.concat(*hits) if hits else none)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: int = 5) -> DataFrame:
@@ -182,7 +184,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: int = 5) -> DataFrame:
     """docs without those that hold an item."""
-    return with_hits(docs, benchmark, threshold, gram).where(F.size("hits") == 0).select(*docs.columns)
+    names = apart(docs, ("hits",))[1]
+    return with_hits(docs, benchmark, threshold, gram).where(F.size("hits") == 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
