@@ -6,7 +6,8 @@ list_name, host, at, action ('add' or 'remove'). Extra columns of captures are k
 Defined cases. A null url or one without a host matches nothing. A change with a null field is ignored.
 Of several changes of one (list, host) at one moment, 'remove' wins. A second 'add' while the entry is
 active, or a 'remove' while it is not, changes nothing. A fetch at the moment of 'add' is covered, at the
-moment of 'remove' it is not. Entries cover their host and all its subdomains. A null fetch time matches nothing.
+moment of 'remove' it is not. Rows equal in key, fetch time and host get one answer; captures that share a key but differ in host are told apart.
+Without entries or captures nothing is blocked. Entries cover their host and all its subdomains. A null fetch time matches nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import table
+from outline_jobs.llm.common import apart, table
+
+SALT = 8
+RESULTS = ("blocked", "list_name", "entry", "since", "until")
 
 
 def host_of(url: Column) -> Column:
@@ -45,15 +49,20 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 
 def join_as_of(captures: DataFrame, active: DataFrame, url: str = "url", fetched: str = "fetched_at", key: str = "page_id") -> DataFrame:
-    """Every capture once, with the entry that blocked it: blocked, list_name, entry, since, until.
+    """Every capture once, with the entry that blocked it: blocked, list_name, entry, since, until; own columns of these names are called own_....
 
-    Of several, the longest entry wins, then the first list by name. The join is on the exact domain, so a hot
-    host is one join key that Spark splits at run time; per (list, domain) at most one interval holds a moment,
-    so no capture meets more rows than it has domains times lists.
+    Of several, the longest entry wins, then the first list by name. The join is on the exact domain. Domains shorter than any entry, such as com, are
+    left out before it, and captures of one domain are dealt over SALT keys, so that a hot host isn't one key; per (list, domain)
+    at most one interval holds a moment, so no capture meets more rows than it has domains times lists.
     """
-    e = active.select("list_name", F.col("host").alias("entry"), "since", "until")
-    asked = captures.select(F.col(key).alias("_key"), F.col(fetched).alias("_at"), host_of(F.col(url)).alias("_host"), F.explode(domains(host_of(F.col(url)))).alias("_domain")).where("_domain <> ''")
-    hit = asked.join(e, (F.col("_domain") == F.col("entry")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    captures = apart(captures, RESULTS)[0]
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+    e = active.select("list_name", F.col("host").alias("entry"), "since", "until", salts)
+    least = active.agg(F.min(F.size(F.split("host", r"\.")))).first()[0]
+    long = F.filter(domains(host_of(F.col(url))), lambda d: F.size(F.split(d, r"\.")) >= F.lit(least or 1))
+    asked = captures.select(F.col(key).alias("_key"), F.col(fetched).alias("_at"), host_of(F.col(url)).alias("_host"), F.explode(long).alias("_domain")).where("_domain <> ''")
+    asked = asked.withColumn("_own", F.pmod(F.xxhash64("_key", "_at"), F.lit(SALT)).cast("int"))
+    hit = asked.join(e, (F.col("_domain") == F.col("entry")) & (F.col("_own") == F.col("_salt")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     best = hit.groupBy("_key", "_at", "_host").agg(F.min(F.struct((-F.length("entry")).alias("n"), "list_name", "entry", "since", "until")).alias("_best"))
     same = captures[key].eqNullSafe(best["_key"]) & captures[fetched].eqNullSafe(best["_at"]) & host_of(captures[url]).eqNullSafe(best["_host"])
     out = captures.join(best, same, "left")
