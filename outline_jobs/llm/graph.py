@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from outline_jobs.llm.common import written
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, root): each node but the roots themselves, with the smallest node of its component.
@@ -19,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -31,4 +29,3 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    raise RuntimeError("components did not settle")

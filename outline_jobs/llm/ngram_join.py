@@ -33,7 +33,7 @@ def bands_for(threshold: float, recall: float = 0.9999, hashes: int = 128) -> tu
     """(bands, rows): the most selective rows with which bands of at most `hashes` values in all reach the recall at the threshold."""
     best = (hashes, 1)
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = max(1, math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
         if bands * rows <= hashes:
             best = (bands, rows)
     return best
