@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 # Element names of the HTML standard by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button datalist".split())
+SKIPPED = frozenset("script style noscript template iframe object svg canvas audio video head title select textarea button datalist".split())
 RAW = frozenset("script style noscript template iframe svg title textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -20,6 +21,8 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
 SCOPE = frozenset("html body table td th caption button".split())
+#: End tags go no further up than an open element of WALLS, but for those of THROUGH.
+WALLS, THROUGH = ("td", "th", "table"), frozenset("table tr tbody thead tfoot body html div article section main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -45,9 +48,13 @@ def read(page: str | None) -> tuple[list[Block], list[tuple[int, str]]]:
     blocks = [Block("html", -1, 0, {})]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with its block
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag, where it is open in the stack, so that no depth is searched through
     parts: list[str] = []
     skip, links, at = 0, 0, 0
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def text(raw: str) -> None:
         if skip or not raw:
             return
@@ -72,6 +79,7 @@ def read(page: str | None) -> tuple[list[Block], list[tuple[int, str]]]:
         if any(t in BLOCKS for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
+            places[t].pop()
             skip -= t in SKIPPED
             links -= t == "a"
         del stack[k:]
@@ -86,32 +94,24 @@ def read(page: str | None) -> tuple[list[Block], list[tuple[int, str]]]:
         if not m[0].endswith(">"):
             break  # the page ends within a tag
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "div", "article", "section", "main"):
-                    break
+            k = last((tag,))
+            if k and (tag in THROUGH or k >= last(WALLS)):
+                close(k)
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack[1:]):
+        if tag in ("html", "body") and places[tag]:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = page.find(">", stop.start()) + 1 or len(page) if stop else len(page)
             continue
         if tag in BLOCKS or tag == "body":
-            if tag == "body" or tag not in ("html",) and stack[-1][0] == "head":
-                for k in range(1, len(stack)):
-                    if stack[k][0] == "head":
-                        close(k)
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p" or tag in ENDS and t in ENDS[tag][0]:
-                    close(k)
-                    if t != "p" or tag not in ENDS:
-                        break
-                elif t in (ENDS[tag][1] if tag in ENDS else SCOPE):
+            if places["head"] and (tag == "body" or stack[-1][0] == "head"):
+                close(places["head"][0])
+            ended, wall = ENDS.get(tag, ((), SCOPE))
+            while (k := last(("p", *ended))) > last(wall):
+                more = stack[k][0] == "p" and tag in ENDS
+                close(k)
+                if not more:
                     break
             flush()
         if tag in VOID:
@@ -130,6 +130,7 @@ def read(page: str | None) -> tuple[list[Block], list[tuple[int, str]]]:
             continue
         if tag in ("button", "select"):
             blocks[own].inputs += 1
+        places[tag].append(len(stack))
         stack.append((tag, own))
         skip += tag in SKIPPED
         links += tag == "a"

@@ -114,7 +114,8 @@ def marginals(f: Forest, m: Model) -> tuple[np.ndarray, np.ndarray]:
     own = np.zeros((len(f.x), 2))
     own[:, 1] = f.x @ m.unary
     edge = m.edge[f.kind]
-    levels = [np.flatnonzero(f.depth == d) for d in range(f.depth.max() + 1)]
+    order = np.argsort(f.depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(f.depth[order])) + 1)
     up, below = np.zeros_like(own), own.copy()
     for here in reversed(levels[1:]):
         up[here] = np.logaddexp(edge[here, :, 0] + below[here, None, 0], edge[here, :, 1] + below[here, None, 1])
