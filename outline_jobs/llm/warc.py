@@ -5,8 +5,7 @@ records; every record follows as a frame of its own, so that one can be read by
 are cut at FILE_BYTES of records, so a task holds one file's records and no more.
 
 Of records with equal payloads of at least min_bytes, the one with the smallest key is the response, the
-others revisit it; which is which comes from a grouping by payload digest with partial sums, and a join that Spark splits
-where one payload is very common. Records are written in the order of their keys within a task, so a
+others revisit it; which is which comes from keys and digests alone, grouped with partial sums. Records are written in the order of their keys within a task, so a
 task that runs again writes the same files under the same names, each moved into place when it is complete.
 
 Defined cases. Null html is an empty payload. A null url is written as the record's own name. Rows equal in key
@@ -36,19 +35,22 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 FILE_BYTES = 32_000_000
 DICT_BYTES = 65_536
-#: Bytes of records, spread over the file, from which its dictionary is built.
-SAMPLE_BYTES = 4_000_000
+#: Bytes of records, spread over the file, from which its dictionary is built, and of each record at most; records themselves are always whole.
+SAMPLE_BYTES, SAMPLE_RECORD = 4_000_000, 65_536
 
 
 def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """key, url, payload (null for revisits), n_bytes, digest (hex), refers_to (null for responses), is_revisit."""
     p = pages.select(F.col("page_id").alias("key"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    # The digests alone are read again for the groups; payloads are moved once.
-    first = p.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = p.join(first, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    return joined.select("key", "url", F.when(~again, F.col("payload")).alias("payload"), "n_bytes", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("is_revisit"))
+    # Keys and digests alone decide. Payloads then move once, by key and digest, so a payload that a third of the pages share is no hot key.
+    slim = p.select("key", "digest", "n_bytes").where(F.col("n_bytes") >= min_bytes)
+    first = slim.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = slim.groupBy("key", "digest").agg(F.lit(1).alias("_n")).drop("_n").join(first, "digest").where(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")))
+    again = again.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
+    joined = p.join(again.hint("merge"), p["key"].eqNullSafe(again["_key"]) & (p["digest"] == again["_digest"]), "left")
+    visited = F.col("refers_to").isNotNull()
+    return joined.select("key", "url", F.when(~visited, F.col("payload")).alias("payload"), "n_bytes", "digest", "refers_to", visited.alias("is_revisit"))
 
 
 def name_of(key: int | None) -> str:
@@ -74,7 +76,7 @@ def dictionary(records: list[bytes]):
     import zstandard
 
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    sample = [r[:65_536] for r in records[::step]]
+    sample = [r[:SAMPLE_RECORD] for r in records[::step]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, sample, k=256, d=8, level=3)
     except zstandard.ZstdError:
