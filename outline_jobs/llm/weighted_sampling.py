@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from outline_jobs.llm.common import mixed, shingle_hashes, table, word_hashes, written
 
-SAMPLES = 64
+#: Draws of a fingerprint; the error of a likeness is about half the root of one over it.
+SAMPLES = 128
 #: Terms handled at once, so that memory doesn't grow with a text.
 BLOCK = 2048
 
