@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from outline_jobs.llm import decontamination, factorization, line_dedup, main_text, mixing, ngram_join, repair, url_lists, warc, weighted_sampling
 from outline_jobs.llm.common import WORD_PATTERN, shared_dir, shingle_hashes, word_hashes
@@ -327,3 +328,106 @@ def test_lists_of_shared_ids_and_long_hosts(spark):
     captures = spark.createDataFrame([(1, "http://bad.com/a"), (1, "http://good.com/"), (1, None), (2, f"http://{long}/"), (3, "http://s.bad.com")], "page_id long, url string").selectExpr("*", "timestamp'2024-02-01' as fetched_at")
     got = {(r["page_id"], r["url"]): r["entry"] for r in url_lists.join_as_of(captures, active).collect()}
     assert got == {(1, "http://bad.com/a"): "bad.com", (1, "http://good.com/"): None, (1, None): None, (2, f"http://{long}/"): long, (3, "http://s.bad.com"): "bad.com"}
+
+
+def test_inclusion_frequencies(spark):
+    """Documents of one source are taken about as often as each is expected to be, which differs by their size."""
+    sizes = [5, 20, 60, 150, 400, 900]
+    d = spark.range(12_000).selectExpr("id doc_id", f"repeat('w ', array({','.join(map(str, sizes))})[id % 6]) text", "if(id % 12 < 6, 'a', 'b') source")
+    rows = mixing.mix(d).collect()
+    for s in "ab":
+        own = [r for r in rows if r["source"] == s]
+        share = own[0]["target"] / own[0]["source_size"]
+        lean = {n: 256 * 1024 // (n + 256) for n in sizes}
+        average = sum(lean[r["size"]] * r["size"] for r in own) / own[0]["source_size"]
+        for n in sizes:
+            copies = [r["copies"] for r in own if r["size"] == n]
+            want = share + min(share, 3 - share) / 2 * (lean[n] - average) / 1024
+            assert abs(np.mean(copies) - want) < 0.06 and len(set(copies)) <= 2, (s, n, np.mean(copies), want)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(sizes)
+
+
+def test_clashing_columns(spark, docs, rows):
+    names = docs.columns
+    assert mixing.mixed_documents(docs).columns == names and {r["target"] for r in mixing.mixed_documents(docs).collect()} == {3}
+    assert "own_size" in mixing.mix(docs).columns and {r["own_target"] for r in mixing.mix(docs).collect()} == {3}
+    machine = factorization.trained(docs.where("false"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["score"] for r in factorization.accepted(docs, machine).collect()} == {"s"} and {r["own_score"] for r in factorization.scored(docs, machine).collect()} == {"s"}
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == names and {r["hits"] for r in kept.collect()} == {2} and kept.count() == len(rows) - 1
+    assert factorization.scored(docs.drop("n_chars"), machine).count() == len(rows)
+    c = spark.createDataFrame([(1, "http://a.com", 7, "mine")], "page_id long, url string, blocked int, entry string").selectExpr("*", "timestamp'2024-02-01' fetched_at")
+    active = spark.sql("select 'x' list_name, 'a.com' host, timestamp'2024-01-01' since, cast(null as timestamp) until")
+    r = url_lists.join_as_of(c, active).first()
+    assert (r["blocked"], r["entry"], r["own_blocked"], r["own_entry"]) == (True, "a.com", 7, "mine")
+    assert url_lists.join_as_of(c, active.where("false")).first()["blocked"] is False and url_lists.join_as_of(c.where("false"), active).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for t in [k / 100 for k in range(30, 100)] + [1.0]:
+        bands, n = ngram_join.bands_for(t)
+        assert bands * n <= 128 and (1 - (1 - t**n) ** bands >= 0.9999 or n == 1)
+
+
+def test_edited_items_are_found():
+    """Every window of an edited item that reaches the threshold, by brute force, is found, also with words put in."""
+    r, missed, found = random.Random(6), 0, 0
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(60, 160)))) for k in range(60)]
+    index = decontamination.Index(items, 0.8, 5)
+    for k, text in items * 3:
+        w = text.split()
+        for _ in range(r.randint(1, 4)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((0, 0, 1))] = r.choices(vocabulary, k=r.choice((0, 1, 1, 1)))
+        doc = r.choices(vocabulary, k=30) + w + r.choices(vocabulary, k=30)
+        hashed = word_hashes(" ".join(doc))
+        best = max(index.likeness(k, hashed, a) for a in range(len(doc) - index.words[k] + 1))
+        if best >= 0.8:
+            found += 1
+            missed += k not in [x for x, *_ in index.search(" ".join(doc))]
+    assert found > 60 and missed <= found * 0.01
+
+
+def test_deep_pages():
+    import time
+
+    from outline_jobs.llm import dom
+
+    began = time.process_time()
+    blocks, runs = dom.read("<body>" + "<div>" * 20_000 + "<p>deep<p>er<math>x</math>" + "</div>" * 20_000)
+    assert len(blocks) == 20_004 and [t for _, t in runs] == ["deep", "erx"] and time.process_time() - began < 5
+    p, _ = main_text.marginals(main_text.Forest.of([blocks]), main_text.trained())
+    assert np.isfinite(p).all()
+    tree = dom.read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>x</div></p><td>y<tr><td>z</table>")
+    assert [t for _, t in tree[1]] == ["a", "b", "c", "d", "x", "y", "z"]
+
+
+def test_fingerprint_query_against_brute_force(spark, docs, rows):
+    texts = {i: t or "" for i, t, *_ in rows if i not in (84,)}
+    got = {r["doc_id"]: r for r in weighted_sampling.with_edits(docs.where("doc_id <> 84")).collect()}
+    order = sorted(texts)
+    errors = []
+    for k, i in enumerate(order):
+        other = texts[order[(k + 1) % len(order)]]
+        edited = texts[i][: len(texts[i]) - len(texts[i]) // 2] + other[: len(texts[i]) // 2]
+        assert got[i]["fingerprint"] == weighted_sampling.hexed(weighted_sampling.fingerprint(texts[i])) and got[i]["edited_fingerprint"] == weighted_sampling.hexed(weighted_sampling.fingerprint(edited))
+        for name, t in (("near_edited", edited), ("near_next", other)):
+            a, b = Counter(words(texts[i])), Counter(words(t))
+            errors.append(got[i][name] - (sum((a & b).values()) / sum((a | b).values()) if a or b else 1))
+    # The same group of copies meets the same draws, so errors aren't independent.
+    assert np.sqrt(np.mean(np.square(errors))) < 0.06 and max(map(abs, errors)) < 0.2
+
+
+def test_quality_query(spark, tmp_path):
+    good, bad = "some quiet words that go on and end. " * 4, "word word word word word !!! " * 9
+    learn = [(i, good[i % 30 :] if i % 2 else bad[i % 20 :], 90) for i in range(150)] + [(200, None, None), (None, "x", 1)]
+    spark.createDataFrame(learn, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = factorization.query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(learn)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 150]
+    assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
