@@ -7,7 +7,6 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from outline_jobs.llm import decontamination, factorization, mixing, ngram_join, repair
 from outline_jobs.llm.common import table, written
@@ -16,7 +15,7 @@ from outline_jobs.llm.common import table, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores 0.3 or more."""
     machine = factorization.trained(docs, table(spark, sf_dir, "labels"))
-    return factorization.scored(docs, machine).where(F.col("score") >= 0.3).select(*docs.columns)
+    return factorization.accepted(docs, machine, 0.3)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
