@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +73,25 @@ def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]
     return docs.toDF(*found), found
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, what runs passes Arrow batches of at most about this many bytes to Python workers; the session's own setting returns after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def released() -> None:
+    """Gives memory that earlier work of this worker has freed back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def put(folder: str, name: str, content: bytes) -> None:
     """Writes a file of the shared folder under its name in one move."""
     from pyarrow import fs

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import put, shared_dir, table
+from outline_jobs.llm.common import batches_of, put, released, shared_dir, table
 
 MAGIC = b"RPR2"
 #: Ids of a shard, at least, but for the last of a task; bytes of the table of words that a worker keeps; words encoded as one text; bytes of texts cut at once.
-SHARD_TOKENS, WORD_BYTES, LINE, TEXT_BYTES = 1_000_000, 48 << 20, 200, 8 << 20
+SHARD_TOKENS, WORD_BYTES, LINE, TEXT_BYTES = 1_000_000, 32 << 20, 200, 4 << 20
 #: The only floor: occurrences of a pair without which it gets no rule, in both phases. Two are as few as can repeat, so nothing that repeats is left.
 LEAST = 2
 END = 2
@@ -76,7 +76,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # For words of small Latin letters nothing is left to normalise or to cut.
-        self.lettered = Tokenizer.from_file(path)
+        self.lettered = Tokenizer(self.tokenizer.model)
         self.lettered.normalizer = normalizers.Sequence([])
         self.lettered.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size()
@@ -362,6 +362,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         enc, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
         keys, words, counts, held = [], [], [], 0
 
@@ -370,6 +371,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             symbols, rules, n_symbols, n_ids = compress(np.concatenate(words), np.concatenate(counts), enc.ids, enc.n, enc.size)
             name = f"part-{part:06d}-{shard:04d}.rpr"
             put(folder, name, packed(symbols, rules, enc.size, keys, n_symbols, n_ids))
+            released()
             out = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "file": name, "n_docs": len(keys), "n_tokens": int(n_ids.sum())}], schema=kind)
             shard, keys, words, counts, held = shard + 1, [], [], [], 0
             return out
@@ -390,7 +392,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         if keys:
             yield flush()
 
-    rows.mapInArrow(run, "part int, shard int, file string, n_docs long, n_tokens long").write.parquet(folder + "-list")
+    with batches_of(docs.sparkSession, TEXT_BYTES):
+        rows.mapInArrow(run, "part int, shard int, file string, n_docs long, n_tokens long").write.parquet(folder + "-list")
     return docs.sparkSession.read.parquet(folder + "-list")
 
 
