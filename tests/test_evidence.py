@@ -39,7 +39,7 @@ CASES = {
     19: ["# 1 Scope\n\nword", "continuation"],
     20: [(1, "# 1 Scope\n\nInitial body."), (3, "continued here.")],
     21: ["# 1 A\n\nx y.\n\n## 1.1 B\n\nx y.\n\n## 1.2 C\n\nx y.\n\n# 2 D\n\nx y."],
-    23: ["bad � sign", ""],
+    23: ["bad � sign.", ""],
     30: ["", "# 1 Scope\n\nText."],
 }
 
