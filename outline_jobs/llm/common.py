@@ -14,7 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Keys that hold more than one HUBS-th of all rows are hubs; there are fewer than HUBS of them.
+HUBS = 1024
 #: Bytes that end a word: ASCII other than letters and digits. All other bytes belong to words.
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: The same rule as a pattern for SQL and Python, on lower-cased text.
@@ -62,6 +65,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of facts of their keys, rows without facts left out; facts has one row for each key, and in _n how many of the rows hold it.
+
+    total: at least the number of rows. Rows of hubs meet a broadcast of fewer than HUBS facts where they lie; only the others are shuffled,
+    so no task gets more of a key than a HUBS-th. Keys are never null.
+    """
+    hub = F.broadcast(facts.where(F.col("_n") * HUBS > total).withColumn("_hub", F.lit(True)))
+    marked = rows.join(hub, keys, "left")
+    rest = marked.where("_hub is null").select(*rows.columns).join(facts, keys)
+    return rest.unionByName(marked.where("_hub").drop("_hub")).drop("_n")
+
+
 def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
     """(docs whose own columns of these names are called own_..., what each of its columns is called then): room for an operator's results."""
     found: list[str] = []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import WORD_PATTERN, mixed, shingle_hashes, table, word_hashes, written
+from outline_jobs.llm.common import WORD_PATTERN, looked_up, mixed, shingle_hashes, table, word_hashes, written
 from outline_jobs.llm.graph import components
 
 BLOCK = 256
@@ -134,8 +134,8 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pairs: bool = False) -> DataFrame:
     """members: root, rep and the keys of a row that holds the text. Counts of links (rep, n_links) with forest edges (rep, other), or all pairs (rep, other, similarity)."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    m = looked_up(members, sizes, ["root"], members.count()).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,16 +183,16 @@ def compared(docs: DataFrame, members: DataFrame, threshold: float, n: int, pair
 
 
 def candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, h1, h2; texts: rep, a number for each distinct text, its smallest doc_id as first and the keys of a row that holds it; members: root, rep and those keys, of candidate components)."""
+    """(rows: doc_id, h1, h2; texts: rep, a number for each distinct text, its smallest doc_id as first, copies: how many rows hold it, and the keys of a row that holds it; members: root, rep and those keys, of candidate components)."""
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, n, bands, rows), "ngram-signatures")
-    first = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    first = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # Written, so that every reader sees the same numbers.
-    texts = written(first.select(F.monotonically_increasing_id().alias("rep"), "first", "h1", "h2", F.coalesce("first", F.lit(0)).cast("long").alias("_id"), F.col("first").isNull().alias("_none")), "ngram-texts")
+    texts = written(first.select(F.monotonically_increasing_id().alias("rep"), "first", "copies", "h1", "h2", F.coalesce("first", F.lit(0)).cast("long").alias("_id"), F.col("first").isNull().alias("_none")), "ngram-texts")
     reps = sig.select("h1", "h2", F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none"), "bands").join(texts.select("rep", *KEYS), KEYS)
-    band = reps.select("rep", F.explode("bands").alias("key"))
-    hubs = band.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("end")).where("hub <> end").drop("end")
-    edges = band.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    band = written(reps.select("rep", F.explode("bands").alias("key")), "ngram-bands")
+    hubs = band.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("end"), F.count(F.lit(1)).alias("_n")).where("hub <> end").drop("end")
+    edges = looked_up(band, hubs, ["key"], band.count()).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     tree = components(edges)
     members = tree.select("root", F.col("node").alias("rep")).unionByName(tree.select("root", F.col("root").alias("rep")).distinct())
     return sig.select("doc_id", "h1", "h2"), texts, written(members.join(texts.select("rep", *KEYS), "rep"), "ngram-members")
@@ -222,8 +222,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: flo
     """doc_id; class_id: the smallest doc_id that copies and links lead to; copy_of: the smallest with an equal text; n_links: other texts linked to this one."""
     rows, texts = classified(docs, threshold, n, recall)
     texts = written(texts, "ngram-classes")
-    heads = texts.groupBy("root").agg(F.min("first").alias("class_id"))
-    out = rows.join(texts.join(heads, "root").select("h1", "h2", "first", "class_id", "n_links"), ["h1", "h2"])
+    heads = texts.groupBy("root").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    facts = looked_up(texts.select("root", "h1", "h2", "first", "n_links", "copies"), heads, ["root"], texts.count())
+    out = looked_up(rows, facts.select("h1", "h2", "first", "class_id", "n_links", F.col("copies").alias("_n")), ["h1", "h2"], rows.count())
     return out.select("doc_id", "class_id", F.col("first").alias("copy_of"), "n_links")
 
 
