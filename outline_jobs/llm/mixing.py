@@ -11,7 +11,7 @@ The place is found without sorting a source in one task: ranks are counted in SP
 that holds the place is found from those sums, and only documents of that bin are counted in finer bins,
 then sorted. Each level divides the rows by SPLIT, so a source of any size ends in a few rows.
 
-Defined cases. Sizes of 0 (null or empty text, white space) take nothing and stay in the result with 0. A null
+Defined cases. Sizes of 0 (null or empty text, white space) take nothing and stay in the result with 0 copies. A null
 source is a source of its own and sorts last. Repeated keys and equal ranks are ordered by a hash of the text;
 wholly equal rows are interchangeable and drawn as separate rows where they fall on the border. Empty tables
 give empty results; extra columns are kept, those named as a result is as own_... (mixed_documents keeps all names).
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
     rank = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
 
     def ranked(d: DataFrame) -> DataFrame:
-        d = with_targets(d).withColumn("_e", expected).withColumn("_whole", F.floor(F.col("_e") + 1e-12)).withColumn("_p", F.greatest(F.col("_e") - F.col("_whole"), F.lit(0.0)))
+        d = with_targets(d).withColumn("_e", F.when(F.col("size") > 0, expected).otherwise(0.0)).withColumn("_whole", F.floor(F.col("_e") + 1e-12)).withColumn("_p", F.greatest(F.col("_e") - F.col("_whole"), F.lit(0.0)))
         # rank / (1 + rank) keeps the order and lies in (0, 1), so that it can be cut into bins.
         return d.withColumn("_rank", F.when(F.col("_p") > 0, rank)).withColumn("_place", F.col("_rank") / (1 + F.col("_rank")))
 
