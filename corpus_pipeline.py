@@ -40,7 +40,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mix", mix), ("token_ids", token_ids)]
 
-#: The first stage is a trained model, which SQL cannot express. Tests hold each stage against brute force; the run as a whole has only loose assertions so far.
+#: The first stage is a trained model, which SQL cannot express. test_pipeline_against_brute_force holds every row of a run: the machine's own scores, the stages' SQL, the library's ids.
 ORACLE_SQL = None
 
 
