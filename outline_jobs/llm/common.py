@@ -78,12 +78,17 @@ def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) ->
 
 
 def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """(docs whose own columns of these names are called own_..., what each of its columns is called then): room for an operator's results."""
-    found: list[str] = []
+    """(docs whose own columns of these names are called own_..., what each of its columns is called then): room for an operator's results.
+
+    Names are the same where they differ in case alone, as Spark has it.
+    """
+    taken, found = {n.lower() for n in names}, []
+    every = {c.lower() for c in docs.columns}
     for c in docs.columns:
         new = c
-        while new in names or (new != c and (new in docs.columns or new in found)):
+        while new.lower() in taken or (new != c and new.lower() in every):
             new = f"own_{new}"
+        taken.add(new.lower())
         found.append(new)
     return docs.toDF(*found), found
 
