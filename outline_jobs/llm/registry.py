@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from outline_jobs.llm import decontamination, factorization, line_dedup, main_text, mixing, ngram_join, repair, url_lists, warc, weighted_sampling
+from outline_jobs.llm import (
+    decontamination, factorization, filter_audit, line_dedup, main_text, mixing, ngram_join, repair, sharding, url_lists, vector_codes, warc,
+    weighted_sampling,
+)
 
 QUERIES = {
     "op1_weighted_sampling": weighted_sampling.query,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_simhash_windows": decontamination.query,
     "op9_line_bitmaps": line_dedup.query,
     "op10_main_text": main_text.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_mixture_shards": sharding.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
@@ -23,4 +29,7 @@ ORACLES = {
     "op7_ngram_banding": ngram_join.ORACLE,
     "op8_simhash_windows": decontamination.ORACLE,
     "op9_line_bitmaps": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_mixture_shards": sharding.ORACLE,
 }
