@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that hold more than one HUBS-th of all rows are hubs; there are fewer than HUBS of them.
@@ -93,6 +93,17 @@ def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]
     return docs.toDF(*found), found
 
 
+def packed(docs: DataFrame, left_out: tuple[str, ...] = ()) -> Column:
+    """The caller's columns as one struct _row, so that no working name of an operator meets theirs."""
+    without = {c.lower() for c in left_out}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in without]).alias("_row")
+
+
+def unpacked(columns: list[str], names: list[str]) -> list[Column]:
+    """The columns of _row under these names."""
+    return [F.col(f"_row.`{c}`").alias(n) for c, n in zip(columns, names)]
+
+
 @contextmanager
 def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
     """Within it, what runs passes Arrow batches of at most about this many bytes to Python workers; the session's own setting returns after it."""

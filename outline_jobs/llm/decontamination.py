@@ -185,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: i
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram: int = 5) -> DataFrame:
     """docs without those that hold an item."""
     names = apart(docs, ("hits",))[1]
-    return with_hits(docs, benchmark, threshold, gram).where(F.size("hits") == 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return with_hits(docs, benchmark, threshold, gram).where(F.size("hits") == 0).select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def measured(docs: DataFrame) -> Column:
 def accepted(docs: DataFrame, machine: Machine, least: float = 0.3) -> DataFrame:
     """The rows of docs that score `least` or more, in the columns of docs."""
     names = apart(docs, ("score",))[1]
-    return scored(docs, machine).where(F.col("score") >= least).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return scored(docs, machine).where(F.col("score") >= least).select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

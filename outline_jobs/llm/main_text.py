@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outline_jobs.llm.dom import Block, read
-from outline_jobs.llm.common import table
+from outline_jobs.llm.common import apart, table
 
 PAGES, ROUNDS, RATE, DECAY, SEED = 300, 120, 0.15, 1e-3, 3
 
@@ -238,7 +238,7 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
 
 
 def extracted(pages: DataFrame, model: Model | None = None, source: str = "html", to: str = "text") -> DataFrame:
-    """pages with the main text of their column `source`."""
+    """pages with the main text of their column `source`; an own column that is called as the result, in any case, is called own_...."""
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # a fixed size, whatever the input
 
     @F.pandas_udf("string")
@@ -248,7 +248,9 @@ def extracted(pages: DataFrame, model: Model | None = None, source: str = "html"
             found += main_texts([x if isinstance(x, str) else None for x in html[i : i + 64]], shared.value)
         return pd.Series(found, dtype=object)
 
-    return pages.withColumn(to, text(F.col(source)))
+    rows, names = apart(pages, (to,))
+    at = dict(zip((c.lower() for c in pages.columns), names))[source.lower()]
+    return rows.withColumn(to, text(F.col(f"`{at}`")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

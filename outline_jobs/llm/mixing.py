@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import SPACE, apart, table, written
+from outline_jobs.llm.common import SPACE, apart, packed, table, unpacked, written
 
 #: Bins per source and level, and levels before the last sort.
 SPLIT, LEVELS = 1024, 2
@@ -66,10 +66,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
 
     With texts, the texts are read once more and not shuffled: what is decided is one border for each source.
     """
-    docs, _ = apart(docs, RESULTS)
-    kept = [c for c in docs.columns if texts or c != text]
+    own = [c for c in docs.columns if texts or c.lower() != text.lower()]
+    names = apart(docs.select(*[f"`{c}`" for c in own]), RESULTS)[1]
+    docs = docs.select(packed(docs, () if texts else (text,)), F.col(key).alias("_key"), F.col(source).alias("source"), F.col(text).alias("_text"))
+    key, source, text = "_key", "source", "_text"
     lean = F.floor(F.lit(LEAN * STEPS) / (F.col("size") + LEAN))
-    sized = docs.select(*kept, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("_u"), F.xxhash64(text).alias("_tie"))
+    sized = docs.select("_row", key, source, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("_u"), F.xxhash64(text).alias("_tie"))
     slim = written(sized.select(*dict.fromkeys((key, source, "size", "_u", "_tie"))) if texts else sized, "mix-sizes")
     sums = slim.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.sum(lean * F.col("size")).alias("_lean"))
     goal = written(targets(sums, weights, most), "mix-targets")
@@ -115,14 +117,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
         (F.floor(F.col("_place") * SPLIT**LEVELS) < F.round(F.col("_from") * SPLIT**LEVELS)) | F.coalesce(F.struct("_rank", key, "_tie") <= F.col("_last"), F.lit(False))
     )
     copies = (F.col("_whole") + F.when((F.col("_p") > 0) & (F.col("size") > 0) & inside, 1).otherwise(0)).cast("long")
-    return out.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*unpacked(own, names), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, in the columns of docs."""
     names = apart(docs, RESULTS)[1]
-    found = mix(docs, weights, most, texts=True).where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    found = mix(docs, weights, most, texts=True).where("copies > 0")
+    # The copies are made beside one struct, as a column of the caller's may be called as they are.
+    rows = found.select(F.struct(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)]).alias("_row"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*unpacked(docs.columns, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

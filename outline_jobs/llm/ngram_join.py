@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import WORD_PATTERN, looked_up, mixed, shingle_hashes, table, word_hashes, written
+from outline_jobs.llm.common import WORD_PATTERN, looked_up, mixed, packed, shingle_hashes, table, unpacked, word_hashes, written
 from outline_jobs.llm.graph import components
 
 BLOCK = 256
@@ -230,11 +230,11 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: flo
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
     """One row of docs for each class: of the text with the smallest doc_id (null last, then by hash), and of rows equal in doc_id and text the first by all columns."""
-    _, texts = classified(docs, threshold, n, recall)
+    _, texts = classified(docs.select("doc_id", "text"), threshold, n, recall)
     heads = texts.groupBy("root").agg(F.min(F.struct("_none", "_id", "h1", "h2")).alias("_head")).select("_head.*")
-    kept = docs.select(*docs.columns, *text_keys()).join(heads.hint("merge"), KEYS, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*docs.columns))
-    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    kept = docs.select(packed(docs), "doc_id", "text").select("_row", *text_keys()).join(heads.hint("merge"), KEYS, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_row"))
+    return kept.withColumn("_place", place).where("_place = 1").select(*unpacked(docs.columns, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

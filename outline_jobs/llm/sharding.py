@@ -69,13 +69,13 @@ def interleaved(
 
     Without texts only the other columns are exchanged, twice; with them the texts are, too.
     """
-    kept = [c for c in docs.columns if texts or c != text]
+    kept = [c for c in docs.columns if texts or c.lower() != text.lower()]
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(key).alias("_key"), F.col(source).alias("_source"), shuffled_by(F.col(key), seed).alias("_u"),
         F.crc32(body).alias("_crc"), (F.length(body) + OVERHEAD).cast("long").alias("_bytes"),
         # Only spreads wholly equal rows over ranges.
-        F.monotonically_increasing_id().alias("_row_id"), F.struct(*kept).alias("_own"),
+        F.monotonically_increasing_id().alias("_row_id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_own"),
     )
     # Written once: choosing the borders of the ranges reads it again.
     mixed = ranked(written(rows, "shard-rows")).withColumn("_at", (F.col("_rank") + 0.5) / F.col("_of"))
@@ -88,7 +88,7 @@ def interleaved(
     found = found.withColumn("_pos", F.col("_before") + F.col("_place") - F.col("_first"))
     found = found.withColumn("_shard", F.expr(f"_pos * {shards} div _all"))
     first = F.expr(f"(_shard * _all + {shards - 1}) div {shards}")
-    names = apart(docs.select(*kept), RESULTS)[1]
+    names = apart(docs.select(*[F.col(f"`{c}`") for c in kept]), RESULTS)[1]
     return found.select(
         *[F.col(f"_own.`{c}`").alias(n) for c, n in zip(kept, names)],
         F.col("_bytes").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),

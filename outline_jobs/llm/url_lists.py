@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import apart, table
+from outline_jobs.llm.common import apart, packed, table, unpacked
 
 SALT = 8
 RESULTS = ("blocked", "list_name", "entry", "since", "until")
@@ -55,7 +55,8 @@ def join_as_of(captures: DataFrame, active: DataFrame, url: str = "url", fetched
     left out before it, and captures of one domain are dealt over SALT keys, so that a hot host isn't one key; per (list, domain)
     at most one interval holds a moment, so no capture meets more rows than it has domains times lists.
     """
-    captures = apart(captures, RESULTS)[0]
+    names = apart(captures, RESULTS)[1]
+    rows = captures.select(packed(captures), F.col(key).alias("_k"), F.col(fetched).alias("_t"), host_of(F.col(url)).alias("_h"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
     e = active.select("list_name", F.col("host").alias("entry"), "since", "until", salts)
     least = active.agg(F.min(F.size(F.split("host", r"\.")))).first()[0]
@@ -64,10 +65,10 @@ def join_as_of(captures: DataFrame, active: DataFrame, url: str = "url", fetched
     asked = asked.withColumn("_own", F.pmod(F.xxhash64("_key", "_at"), F.lit(SALT)).cast("int"))
     hit = asked.join(e, (F.col("_domain") == F.col("entry")) & (F.col("_own") == F.col("_salt")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     best = hit.groupBy("_key", "_at", "_host").agg(F.min(F.struct((-F.length("entry")).alias("n"), "list_name", "entry", "since", "until")).alias("_best"))
-    same = captures[key].eqNullSafe(best["_key"]) & captures[fetched].eqNullSafe(best["_at"]) & host_of(captures[url]).eqNullSafe(best["_host"])
-    out = captures.join(best, same, "left")
+    same = F.col("_k").eqNullSafe(F.col("_key")) & F.col("_t").eqNullSafe(F.col("_at")) & F.col("_h").eqNullSafe(F.col("_host"))
+    out = rows.join(best, same, "left")
     return out.select(
-        *[captures[c] for c in captures.columns],
+        *unpacked(captures.columns, names),
         F.col("_best").isNotNull().alias("blocked"),
         *[F.col(f"_best.{c}").alias(c) for c in ("list_name", "entry", "since", "until")],
     )

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import apart, looked_up, table, written
+from outline_jobs.llm.common import apart, looked_up, packed, table, unpacked, written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 LARGEST = 1 << 26
@@ -134,10 +134,10 @@ def coded(
 ) -> DataFrame:
     """The kept rows of vectors, without the vector itself, with code, error, label_error and codebooks_sha256."""
     others = [c for c in vectors.columns if c.lower() != vector.lower()]
-    names = apart(vectors.select(*others), RESULTS)[1]
+    names = apart(vectors.select(*[F.col(f"`{c}`") for c in others]), RESULTS)[1]
     # The caller's columns travel as one, so that no working name meets theirs.
-    packed = vectors.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector"), F.struct(*others).alias("_own"))
-    kept = written(integers(packed, "_vector").drop("_vector"), "codes-integers")
+    rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector"), packed(vectors, (vector,)))
+    kept = written(integers(rows, "_vector").drop("_vector"), "codes-integers")
     books, cuts = fitted(kept, "_key", parts, entries, rounds)
     dims = books.shape[1]
 
@@ -159,7 +159,7 @@ def coded(
     sums = written(rows.groupBy("_name", "_none").agg(F.sum("_error").alias("_sum"), F.count(F.lit(1)).alias("_n")), "codes-labels")
     found = looked_up(rows, sums, ["_name", "_none"], rows.count())
     return found.select(
-        *[F.col(f"_own.`{c}`").alias(n) for c, n in zip(others, names)],
+        *unpacked(others, names),
         F.col("_code").alias("code"), F.col("_error").alias("error"), F.col("_sum").alias("label_error"), F.lit(digest(books, cuts)).alias("codebooks_sha256"),
     )
 
