@@ -88,7 +88,7 @@ e1 AS (SELECT *, {_LIST(_IF('found > 1', 'LABEL_INTERPRETATION_CONFLICT'), _IF('
 e2 AS (SELECT *, CASE WHEN numeric_level IS NOT NULL AND markdown_level IS NOT NULL AND len(conflicts) = 0 THEN 1 WHEN found = 1 AND len(conflicts) = 0 THEN 2 WHEN styled THEN 3 END AS rule, {_HAS('body_markup')} OR {_HAS('bare_number')} AS isbody, {_HAS('repeated_page_margin')} AS ismargin FROM e1),
 e3 AS (SELECT *, CASE WHEN rule = 1 THEN first_reading WHEN found = 1 THEN one END AS pick FROM e2),
 e4 AS (SELECT *, coalesce(pick.family = 'numeric', false) AND markdown_level IS NULL AND NOT ({_HAS('standalone_bold')} AND {_HAS('following_prose')}) AS listed FROM e3),
-e5 AS (SELECT * REPLACE (CASE WHEN NOT isbody AND NOT ismargin AND NOT listed THEN pick END AS pick), CASE WHEN isbody THEN 'EXPLICIT_BODY_SYNTAX' WHEN ismargin THEN 'REPEATED_PAGE_MARGIN' WHEN NOT listed THEN CASE rule WHEN 1 THEN 'CONSISTENT_MARKDOWN_NUMBERING' WHEN 2 THEN 'CONSISTENTLABEL_SEQUENCE' WHEN 3 THEN 'REPEATED_HEADING_STYLE_WITH_PROSE' END END AS support FROM e4),
+e5 AS (SELECT * REPLACE (CASE WHEN NOT isbody AND NOT ismargin AND NOT listed THEN pick END AS pick), CASE WHEN isbody THEN 'EXPLICIT_BODY_SYNTAX' WHEN ismargin THEN 'REPEATED_PAGE_MARGIN' WHEN NOT listed THEN CASE rule WHEN 1 THEN 'CONSISTENT_MARKDOWN_NUMBERING' WHEN 2 THEN 'CONSISTENT_LABEL_SEQUENCE' WHEN 3 THEN 'REPEATED_HEADING_STYLE_WITH_PROSE' END END AS support FROM e4),
 e6 AS (SELECT *, last_value(CASE WHEN pick.family = 'roman' AND support IS NOT NULL AND len(conflicts) = 0 THEN candidate_id WHEN pick.family = 'numeric' AND support IS NOT NULL THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS roman FROM e5),
 e7 AS (SELECT *, coalesce(support IS NULL AND len(conflicts) = 0 AND roman <> '' AND markdown_level IS NOT NULL AND {_HAS('following_prose')} AND NOT {_HAS('body_markup')} AND n_readings = 1 AND first_reading.family = 'alpha' AND first_reading.value = 1, false) AS firstalpha FROM e6),
 evidence AS (SELECT doc_id, ord, candidate_id, numeric_level, markdown_level, CASE WHEN firstalpha THEN 'FIRST_ALPHA_HEADING_IN_ROMAN_CONTEXT' ELSE coalesce(support, '') END AS support, array_to_string(conflicts, ',') AS conflicts, CASE WHEN firstalpha THEN first_reading.series ELSE pick.series END AS series,
