@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outline_jobs.functions import slices
 from outline_jobs.functions import text as tx
 from outline_jobs.operators.blocks import present
 
@@ -45,14 +46,31 @@ def segment_owner(segments: DataFrame) -> DataFrame:
 
 
 def segment_uncertainty(owned: DataFrame) -> DataFrame:
-    """With uncertain_boundaries, ownership_reasons and ownership: what is open from an open candidate, or from a page after missing ones, to the next accepted heading."""
+    """With n_uncertain, ownership_reasons and ownership: what is open from an open candidate, or from a page after missing ones, to the next accepted heading.
+
+    n_uncertain counts the open candidates so far in the island: the first so many of its list (`island_boundaries`) are the boundaries in
+    doubt. The lists themselves would be as long together as the square of the candidates.
+    """
     w = Window.partitionBy("doc_id", "island").orderBy("page", "start").rowsBetween(Window.unboundedPreceding, 0)
     gap = F.max(F.col("gap") & F.col("heading").isNull()).over(w)
-    d = owned.withColumn("uncertain_boundaries", F.collect_list("open").over(w))
-    d = d.withColumn("ownership_reasons", present(F.when(F.size("uncertain_boundaries") > 0, "AMBIGUOUS_HEADING_BOUNDARY"), F.when(gap, "UNSELECTED_PAGE_GAP")))
+    d = owned.withColumn("n_uncertain", F.count("open").over(w).cast("int"))
+    d = d.withColumn("ownership_reasons", present(F.when(F.col("n_uncertain") > 0, "AMBIGUOUS_HEADING_BOUNDARY"), F.when(gap, "UNSELECTED_PAGE_GAP")))
     return d.withColumn("ownership", F.when(F.size("ownership_reasons") > 0, "provisional").otherwise("source_sliced"))
 
 
+def island_boundaries(owned: DataFrame) -> DataFrame:
+    """doc_id, island, boundaries: the open candidates of each island that has any, in order."""
+    d = owned.where("open is not null").groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("page", "start", "open"))).alias("_open"))
+    return d.select("doc_id", "island", F.transform("_open", lambda x: x["open"]).alias("boundaries"))
+
+
+def with_boundaries(segments: DataFrame, islands: DataFrame) -> DataFrame:
+    """segments with uncertain_boundaries, each its own list; for the segments that are looked at, not for whole corpora."""
+    d = segments.join(islands, ["doc_id", "island"], "left")
+    none = F.array().cast("array<string>")
+    return d.withColumn("uncertain_boundaries", F.when(F.col("n_uncertain") > 0, F.slice("boundaries", 1, F.col("n_uncertain"))).otherwise(none)).drop("boundaries")
+
+
 def scope_events(d: DataFrame, nodes: DataFrame) -> DataFrame:
     """With scope_path (ids from the root to the owner) and, for headings, closed (innermost first) and opened sections."""
     path = nodes.select("doc_id", F.col("node_id").alias("owner"), F.col("node_path").alias("scope_path"))
@@ -73,16 +91,23 @@ def page_separators(segments: DataFrame) -> DataFrame:
     last = F.lag(F.struct("page", F.right("text", F.lit(1)).alias("sign"))).over(w)
     d = segments.withColumn("_last", last)
     joint = (F.col("status") == "ASSIGNED") & (F.col("_last.page") != F.col("page")) & ~blank(F.col("_last.sign")) & ~blank(F.left("text", F.lit(1)))
-    return d.withColumn("separator_before", F.when(F.coalesce(joint, F.lit(False)), "\n").otherwise("")).drop("_last")
+    d = d.withColumn("separator_before", F.when(F.coalesce(joint, F.lit(False)), "\n").otherwise("")).drop("_last")
+    return d.withColumn("separator_reason", F.when(F.col("separator_before") != "", "PAGE_BOUNDARY_SEPARATOR"))
+
+
+#: What is assumed of every segment's scope.
+SCOPE_ASSUMPTION, ANCESTOR_RESUMPTION = "Active section continues until a supported heading changes scope", "not_inferred"
 
 
 def attach_body(pages: DataFrame, candidates: DataFrame, decisions: DataFrame, nodes: DataFrame, revisions: DataFrame) -> DataFrame:
     """Segments of all pages with owner, status, ownership, scope, boundary, separator, revision and text."""
-    d = scope_events(segment_uncertainty(segment_owner(body_segments(pages, candidates, decisions, nodes))), nodes).where(F.col("end") > F.col("start"))
-    d = d.join(pages.select("doc_id", "page", "markdown"), ["doc_id", "page"]).withColumn("text", F.substring("markdown", F.col("start") + 1, F.col("end") - F.col("start"))).drop("markdown")
-    d = page_separators(d).join(revisions, "doc_id")
+    owned = segment_owner(body_segments(pages, candidates, decisions, nodes))
+    d = scope_events(segment_uncertainty(owned), nodes).where(F.col("end") > F.col("start"))
+    d = page_separators(slices.cut(d, pages, "text")).join(revisions, "doc_id")
     return d.select(
-        "doc_id", "page", "start", "end", "owner", "status", "ownership", "uncertain_boundaries", "ownership_reasons", "scope_path", "opened_by", "boundary", "closed", "opened", "separator_before", "revision", "text",
+        "doc_id", "page", "start", "end", "owner", "status", "ownership", "island", "n_uncertain", "ownership_reasons", "scope_path", "opened_by",
+        F.lit(SCOPE_ASSUMPTION).alias("scope_assumption"), F.lit(ANCESTOR_RESUMPTION).alias("ancestor_resumption"),
+        "boundary", "closed", "opened", "separator_before", "separator_reason", "revision", "text",
     )
 
 
@@ -115,5 +140,5 @@ def body_index(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id", "label", "title", "text").join(d, ["doc_id", "node_id"], "left").select(
         "doc_id", "node_id", "label", "title", F.coalesce("own_ranges", none).alias("own_ranges"), F.coalesce("heading_ranges", none).alias("heading_ranges"),
         F.coalesce("source_characters", F.lit(0)).alias("source_characters"), F.length("text").alias("export_characters"), F.coalesce("generated_page_separators", F.lit(0)).alias("generated_page_separators"),
-        F.when(F.col("_open"), "provisional").otherwise("source_sliced").alias("ownership"), F.col("text").alias("own_text"),
+        F.when(F.col("_open"), "provisional").otherwise("source_sliced").alias("ownership"), F.col("text").alias("own_text"), F.lit(False).alias("verified"),
     )

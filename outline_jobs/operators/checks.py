@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outline_jobs.functions import slices
 from outline_jobs.functions import text as tx
 from outline_jobs.operators import body, evaluation
 from outline_jobs.operators.blocks import present
@@ -20,12 +21,13 @@ def _errors(d: DataFrame, reason: str | Column, ident: str | None = None) -> Dat
 
 def validate_spans(segments: DataFrame, pages: DataFrame, nodes: DataFrame, revisions: DataFrame) -> DataFrame:
     """ERROR rows: unknown owners, spans outside their page, spans of another revision, texts other than the page's."""
-    d = segments.join(nodes.select("doc_id", F.col("node_id").alias("owner"), F.lit(True).alias("_owner")), ["doc_id", "owner"], "left")
-    d = d.join(pages.select("doc_id", "page", F.coalesce("markdown", F.lit("")).alias("markdown")), ["doc_id", "page"], "left").join(revisions.select("doc_id", F.col("revision").alias("_now")), "doc_id", "left")
-    inside = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("markdown")), F.lit(False))
+    d = slices.cut(segments.select("doc_id", "page", "start", "end", "owner", "revision", "text"), pages, "_cut")
+    d = d.join(nodes.select("doc_id", F.col("node_id").alias("owner"), F.lit(True).alias("_owner")), ["doc_id", "owner"], "left")
+    d = d.join(revisions.select("doc_id", F.col("revision").alias("_now")), "doc_id", "left")
+    inside = F.coalesce((F.col("start") < F.col("end")) & F.col("_cut").isNotNull(), F.lit(False))
     found = present(
-        F.when(F.col("_owner").isNull(), "UNKNOWN_BODY_OWNER"), F.when(~inside, "INVALID_SOURCE_SPAN"), F.when(inside & ~F.col("revision").eqNullSafe(F.col("_now")), "STALE_SOURCE_REVISION"),
-        F.when(inside & ~F.col("text").eqNullSafe(F.substring("markdown", F.col("start") + 1, F.col("end") - F.col("start"))), "SOURCE_TEXT_MISMATCH"),
+        F.when(F.col("_owner").isNull(), "UNKNOWN_BODY_OWNER"), F.when(~inside, "INVALID_SOURCE_SPAN"),
+        F.when(inside & ~F.col("revision").eqNullSafe(F.col("_now")), "STALE_SOURCE_REVISION"), F.when(inside & ~F.col("text").eqNullSafe(F.col("_cut")), "SOURCE_TEXT_MISMATCH"),
     )
     return _errors(d.withColumn("_r", F.explode(found)), F.col("_r"), "owner")
 

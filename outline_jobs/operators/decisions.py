@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outline_jobs.functions import canonical, slices
 from outline_jobs.operators import trees
 
 #: Characters of a region's request and of source text round its candidates; ids of active sections and of open candidates offered as parents. Fixed values.
@@ -188,15 +189,20 @@ def dependency_edges(decisions: DataFrame) -> DataFrame:
     return up.join(d.select("doc_id", F.col("candidate_id").alias("depends_on")), ["doc_id", "depends_on"], "left_semi").select("doc_id", "ord", "candidate_id", "depends_on")
 
 
-REGION = "doc_id long, region int, region_id string, candidate_ids array<string>, anchors array<string>, outline array<struct<id:string,parent_id:string,context_only:boolean>>, reason string"
+REGION = (
+    "doc_id long, region int, region_id string, candidate_ids array<string>, anchors array<string>, "
+    "outline array<struct<id:string,parent_id:string,label:string,title:string,context_only:boolean>>, reason string, "
+    "dependencies array<struct<candidate_id:string,neighbours:array<string>>>, dependency_edges array<struct<candidate_id:string,depends_on:string,reason:string>>"
+)
 
 
-def dependency_regions(decisions: DataFrame) -> DataFrame:
-    """REGION rows: open candidates that depend on each other, the sections that may be their parents (anchors), and those around them.
+def dependency_regions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """REGION rows: open candidates that depend on each other, the sections that may be their parents (anchors), and those around them, with label and title of candidates.
 
     Anchors are the confirmed possible parents, the confirmed section before the region, and all above these; the section after it is context only.
     """
     d = decisions.select("doc_id", F.col("ord").cast("long").alias("ord"), "candidate_id", "role", "parent_id", "status", "possible_parents")
+    d = d.join(candidates.select("doc_id", "candidate_id", "label", "title"), ["doc_id", "candidate_id"], "left")
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
         rows = list(g.sort_values("ord").itertuples())
@@ -211,13 +217,16 @@ def dependency_regions(decisions: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
-        tied = set()
+        named = {r.candidate_id: (r.label, r.title) for r in rows}
+        near, edges = {x: set() for x in open_}, defaultdict(list)
         for x, parents in open_.items():
             for p in parents:
                 if p in open_ and p != x:
                     a, b = sorted((find(x), find(p)), key=place.get)
                     root[b] = a
-                    tied.add(x)
+                    near[x].add(p)
+                    near[p].add(x)
+                    edges[x].append({"candidate_id": x, "depends_on": p, "reason": "POSSIBLE_UNRESOLVED_PARENT"})
         groups = defaultdict(list)
         for x in open_:
             groups[find(x)].append(x)
@@ -242,10 +251,12 @@ def dependency_regions(decisions: DataFrame) -> DataFrame:
                     outline.add(up)
                     todo.append(up)
             anchors |= {x for x in outline if place[x] < end}
-            listed = [{"id": x, "parent_id": sure[x], "context_only": x not in anchors} for x in sorted(outline, key=place.get)]
-            reason = "EXPLICIT_POSSIBLE_PARENT_DEPENDENCIES" if tied & set(own) else "ISOLATED_AMBIGUITY"
-            out.append((g["doc_id"].iloc[0], k + 1, f"region-{k + 1}", own, sorted(anchors, key=place.get), listed, reason))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in ("doc_id", "region", "region_id", "candidate_ids", "anchors", "outline", "reason")])
+            listed = [{"id": x, "parent_id": sure[x], "label": named[x][0], "title": named[x][1], "context_only": x not in anchors} for x in sorted(outline, key=place.get)]
+            ties = [e for x in own for e in edges[x]]
+            reason = "EXPLICIT_POSSIBLE_PARENT_DEPENDENCIES" if ties else "ISOLATED_AMBIGUITY"
+            neighbours = [{"candidate_id": x, "neighbours": sorted(near[x], key=place.get)} for x in own]
+            out.append((g["doc_id"].iloc[0], k + 1, f"region-{k + 1}", own, sorted(anchors, key=place.get), listed, reason, neighbours, ties))
+        return pd.DataFrame(out, columns=["doc_id", "region", "region_id", "candidate_ids", "anchors", "outline", "reason", "dependencies", "dependency_edges"])
 
     return d.groupBy("doc_id").applyInPandas(group, REGION)
 
@@ -258,21 +269,90 @@ def region_context(regions: DataFrame, candidates: DataFrame, pages: DataFrame)
     w = Window.partitionBy("doc_id", "region", "page").orderBy("_a", "_b")
     c = c.withColumn("_new", (F.col("_a") > F.coalesce(F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")).withColumn("_k", F.sum("_new").over(w))
     c = c.groupBy("doc_id", "region", "page", "_k").agg(F.min("_a").alias("start"), F.max("_b").alias("end"))
-    return c.join(pages.select("doc_id", "page", "markdown"), ["doc_id", "page"]).select("doc_id", "region", "page", "start", "end", F.substring("markdown", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    return slices.cut(c.select("doc_id", "region", "page", "start", "end"), pages, "text").select("doc_id", "region", "page", "start", "end", "text")
+
+
+def _label_json(r, style) -> Column:
+    """A reading of a label; only numbers have a path."""
+    q = canonical.quoted
+    fields = {"family": q(r["family"]), "path": canonical.strings(r["path"], style), "series": q(r["series"]), "value": q(r["value"])}
+    return canonical.object_of(fields, style, {"path": r["path"].isNotNull()})
+
+
+def _candidate_json(style) -> Column:
+    q = canonical.quoted
+    span = canonical.object_of({"end": q(F.col("end")), "page": q(F.col("page")), "revision": q(F.col("revision")), "start": q(F.col("start"))}, style)
+    return canonical.object_of({
+        "id": q(F.col("candidate_id")), "original_text": q(F.col("raw")), "label": q(F.col("label")), "title": q(F.col("title")), "markdown_level": q(F.col("markdown_level")),
+        "page": q(F.col("page")), "ranges": canonical.array_of(F.array(span), style), "signals": canonical.strings(F.col("signals"), style), "label_grammar": q(F.col("label_grammar")),
+    }, style)
+
+
+def _evidence_json(style) -> Column:
+    """What is known of a candidate after the decisions: support, conflicts and the chosen reading as its scope has changed them."""
+    q, many = canonical.quoted, canonical.strings
+    chosen = F.get(F.filter("readings", lambda r: r["series"] == F.col("series")), F.lit(0))
+    fields = {
+        "candidate_id": q(F.col("candidate_id")), "signals": many(F.col("signals"), style), "numeric_level": q(F.col("numeric_level")), "markdown_level": q(F.col("markdown_level")),
+        "possible_parents": many(F.col("possible_parents"), style), "support": many(F.col("support"), style), "conflicts": many(F.col("conflicts"), style),
+        "label_interpretations": canonical.array_of(F.transform("readings", lambda r: _label_json(r, style)), style),
+        "selected_label": F.when(chosen.isNotNull(), _label_json(chosen, style)).otherwise("null"), "sequence_peers": many(F.col("sequence_peers"), style), "context_anchor": q(F.col("context_anchor")),
+    }
+    return canonical.object_of(fields, style, {"context_anchor": F.col("context_anchor").isNotNull()})
+
 
+def _span_json(x, style) -> Column:
+    q = canonical.quoted
+    return canonical.object_of({"end": q(x["end"]), "page": q(x["page"]), "start": q(x["start"]), "text": q(x["text"])}, style)
 
-def region_budget(regions: DataFrame, candidates: DataFrame, decisions: DataFrame, context: DataFrame, limit: int = REQUEST_MOST) -> DataFrame:
-    """Regions with request (JSON), fingerprint, actual, budget_status. Too large a region is kept whole; it isn't asked about."""
+
+def _outline_json(x, style) -> Column:
+    q = canonical.quoted
+    return canonical.object_of({"context_only": q(x["context_only"]), "id": q(x["id"]), "label": q(x["label"]), "parent_id": q(x["parent_id"]), "title": q(x["title"])}, style)
+
+
+def region_budget(
+    regions: DataFrame, candidates: DataFrame, evidence: DataFrame, decisions: DataFrame, context: DataFrame, revisions: DataFrame, limit: int = REQUEST_MOST
+) -> DataFrame:
+    """Regions with request, fingerprint, actual, pages, coverage, budget_status and split_status. Too large a region is kept whole; it isn't asked about.
+
+    The request is JSON with sorted keys and no spaces; actual counts its code points. The fingerprint is the SHA-256 of the same
+    JSON with a space after every comma and colon. revisions: doc_id, revision, document_hash.
+    """
     if type(limit) is not int or limit <= 0:
         raise ValueError("a region's budget must be a positive number of characters")
-    one = candidates.join(decisions.select("doc_id", "candidate_id", "possible_parents", "support", "conflicts"), ["doc_id", "candidate_id"])
-    item = F.struct("ord", "candidate_id", "page", "start", "end", "raw", "label", "title", "markdown_level", "signals", "possible_parents", "support", "conflicts")
-    own = regions.select("doc_id", "region", F.explode("candidate_ids").alias("candidate_id")).join(one, ["doc_id", "candidate_id"]).groupBy("doc_id", "region").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
-    around = context.groupBy("doc_id", "region").agg(F.sort_array(F.collect_list(F.struct("page", "start", "end", "text"))).alias("context"))
-    d = regions.join(own, ["doc_id", "region"]).join(around, ["doc_id", "region"])
-    d = d.withColumn("request", F.to_json(F.struct("candidate_ids", "candidates", "anchors", "context", "outline"), {"ignoreNullFields": "false"}))
-    d = d.withColumns({"actual": F.length("request"), "fingerprint": F.sha2("request", 256)}).withColumn("budget_status", F.when(F.col("actual") > limit, "oversized").otherwise("within_budget"))
-    return d.select("doc_id", "region", "region_id", "candidate_ids", "anchors", "outline", "reason", "request", "fingerprint", "actual", "budget_status")
+    styles = {"tight": canonical.COMPACT, "wide": canonical.SPACED}
+    known = revisions.select("doc_id", "revision", "document_hash")
+    one = candidates.select("doc_id", "ord", "candidate_id", "page", "start", "end", "raw", "label", "title", "markdown_level", "signals", "label_grammar").join(known, "doc_id")
+    one = one.join(evidence.select("doc_id", "candidate_id", "numeric_level", "readings", "sequence_peers", "context_anchor"), ["doc_id", "candidate_id"])
+    one = one.join(decisions.select("doc_id", "candidate_id", "possible_parents", "support", "conflicts", "series"), ["doc_id", "candidate_id"])
+    own = regions.select("doc_id", "region", F.explode("candidate_ids").alias("candidate_id")).join(one, ["doc_id", "candidate_id"])
+    texts = [f(s).alias(f"{kind}_{k}") for k, s in styles.items() for kind, f in (("c", _candidate_json), ("e", _evidence_json))]
+    own = own.select("doc_id", "region", F.struct("ord", "page", *texts).alias("_i")).groupBy("doc_id", "region").agg(F.sort_array(F.collect_list("_i")).alias("_own"))
+    spans = F.sort_array(F.collect_list(F.struct("page", "start", "end", "text")))
+    around = context.groupBy("doc_id", "region").agg(spans.alias("_context"))
+    d = regions.join(own, ["doc_id", "region"]).join(around, ["doc_id", "region"]).join(known, "doc_id")
+
+    def payload(k, style):
+        own_of = lambda kind: canonical.array_of(F.transform("_own", lambda x: x[f"{kind}_{k}"]), style)
+        return canonical.object_of({
+            "candidate_ids": canonical.strings(F.col("candidate_ids"), style), "candidates": own_of("c"), "evidence": own_of("e"), "anchors": canonical.strings(F.col("anchors"), style),
+            "context": canonical.array_of(F.transform("_context", lambda x: _span_json(x, style)), style),
+            "compressed_outline": canonical.array_of(F.transform("outline", lambda x: _outline_json(x, style)), style),
+            "document_hash": canonical.quoted(F.col("document_hash")), "revision": canonical.quoted(F.col("revision")),
+        }, style)
+
+    coverage = F.struct(
+        F.size("candidate_ids").alias("candidate_count"), F.aggregate("_context", F.lit(0), lambda n, x: n + F.length(x["text"])).alias("context_characters"),
+        F.lit(True).alias("all_candidates_included"), F.lit(False).alias("truncated"),
+    )
+    d = d.withColumns({"request": payload("tight", styles["tight"]), "fingerprint": F.sha2(payload("wide", styles["wide"]), 256), "coverage": coverage})
+    d = d.withColumns({"actual": F.length("request"), "pages": F.array_sort(F.array_distinct(F.transform("_own", lambda x: x["page"])))})
+    over = F.col("actual") > limit
+    return d.select(
+        "doc_id", "region", "region_id", "candidate_ids", "pages", "dependencies", "dependency_edges", "anchors", "outline", "reason", "request", "fingerprint", "actual", F.lit(limit).alias("limit"),
+        F.when(over, "oversized").otherwise("within_budget").alias("budget_status"), "coverage", F.when(over, "indivisible_dependency_component").otherwise("not_needed").alias("split_status"),
+    )
 
 
 def response_errors(response, allowed, anchors, existing) -> list[str]:
@@ -354,7 +434,7 @@ def apply_responses(decisions: DataFrame, regions: DataFrame, responses: DataFra
                 else:
                     for ident, x in told.items():
                         if x["role"] != "abstain":
-                            rows[place[ident]].update(role=x["role"], parent_id=x["parent_id"], status="RESOLVED", role_uncertain=False, parent_uncertain=False, origin="replay", reasons=["REPLAY"])
+                            rows[place[ident]].update(role=x["role"], parent_id=x["parent_id"], status="RESOLVED", role_uncertain=False, parent_uncertain=False, origin="fixture_replay", reasons=["SYNTHETIC_REPLAY"])
                     missing, abstained = [x for x in own if x not in told], [x for x, v in told.items() if v["role"] == "abstain"]
             replies.append({"doc_id": rows[0]["doc_id"], "region": q["region"], "region_id": q["region_id"], "status": status, "reason": reason, "errors": errors, "missing": missing, "abstained": abstained})
         out = pd.DataFrame(rows, columns=names)

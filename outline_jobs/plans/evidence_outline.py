@@ -55,7 +55,7 @@ class EvidenceOutline:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return blocks.build_evidence(self.candidates)
+        return written(blocks.build_evidence(self.candidates), "evidence")
 
     @cached_property
     def decided(self) -> DataFrame:
@@ -63,8 +63,15 @@ class EvidenceOutline:
 
     @cached_property
     def regions(self) -> DataFrame:
-        found = written(decisions.dependency_regions(self.decided), "regions")
-        return written(decisions.region_budget(found, self.candidates, self.decided, decisions.region_context(found, self.candidates, self.pages), self.limit), "requests")
+        found = written(decisions.dependency_regions(self.decided, self.candidates), "regions")
+        return written(self.budget(found, self.limit), "requests")
+
+    def budget(self, regions: DataFrame, limit: int) -> DataFrame:
+        """regions with their requests, measured against limit."""
+        hashes = self.pages.groupBy("doc_id").agg(F.min("document_hash").alias("document_hash"))
+        known = self.revisions.select("doc_id", "revision").join(hashes, "doc_id")
+        context = decisions.region_context(regions, self.candidates, self.pages)
+        return decisions.region_budget(regions, self.candidates, self.evidence, self.decided, context, known, limit)
 
     @cached_property
     def _applied(self) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +93,12 @@ class EvidenceOutline:
     def hierarchy_errors(self) -> DataFrame:
         return self._hierarchy[1]
 
+    @property
+    def islands(self) -> DataFrame:
+        """The open candidates that the segments of an island count."""
+        owned = body.segment_owner(body.body_segments(self.pages, self.candidates, self.decisions, self._hierarchy[0]))
+        return body.island_boundaries(owned)
+
     @cached_property
     def segments(self) -> DataFrame:
         return written(body.attach_body(self.pages, self.candidates, self.decisions, self._hierarchy[0], self.revisions), "segments")

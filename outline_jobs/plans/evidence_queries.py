@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from outline_jobs.functions import text as tx
-from outline_jobs.operators import blocks, checks, decisions, evaluation, quality, raw_text, trees
+from outline_jobs.operators import blocks, body, checks, decisions, evaluation, quality, raw_text, trees
 from outline_jobs.plans import corpus
 from outline_jobs.plans.evidence_outline import EvidenceOutline
 from outline_jobs.plans.line_queries import squeeze, strip
@@ -184,6 +184,47 @@ def _proposed(spark, sf_dir):
     return quality.route_pages(p, made, p.where((F.col("doc_id") + F.col("page")) % 7 == 0).select("doc_id", "page", F.concat("markdown", F.lit("\nby hand")).alias("markdown")))
 
 
+#: Characters of a request in the query, so that there are regions on both sides.
+QUERY_LIMIT = 1500
+
+
+def _measured(spark, sf_dir):
+    o = outline(spark, sf_dir)
+    bare = o.regions.select("doc_id", "region", "region_id", "candidate_ids", "anchors", "outline", "reason", "dependencies", "dependency_edges")
+    return o.budget(bare, QUERY_LIMIT).select("doc_id", "region", "actual", "fingerprint", "budget_status")
+
+
+def _region_rows(spark, sf_dir):
+    pair = lambda x: F.concat(x["candidate_id"], F.lit(":"), F.array_join(x["neighbours"], "+"))
+    return outline(spark, sf_dir).regions.select(
+        "doc_id", "region", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), F.col("coverage.candidate_count").alias("candidate_count"),
+        F.array_join(F.transform("dependencies", pair), ",").alias("dependencies"), F.size("dependency_edges").alias("n_edges"), F.col("coverage.context_characters").alias("context_characters"), "split_status")
+
+
+def _boundaries(spark, sf_dir):
+    o = outline(spark, sf_dir)
+    return body.with_boundaries(o.segments, o.islands).select("doc_id", "page", "start", "n_uncertain", F.array_join("uncertain_boundaries", ",").alias("boundaries"))
+
+
+#: The request of a region of the plain corpus, key by key; a header line has neither label nor support, and may be below the page before.
+_BUDGET = rf"""SELECT doc_id, region, CAST(length(tight) AS INT) AS actual, sha256(regexp_replace(tight, '((?:"(?:[^"\\]|\\.)*"|[^",:])*)([,:])', '\1\2 ', 'g')) AS fingerprint,
+    CASE WHEN length(tight) > {QUERY_LIMIT} THEN 'oversized' ELSE 'within_budget' END AS budget_status
+FROM (SELECT doc_id, region, CAST(to_json({{
+        'anchors': anchors, 'candidate_ids': [candidate_id],
+        'candidates': [{{'id': candidate_id, 'label': label, 'label_grammar': label_grammar, 'markdown_level': markdown_level, 'original_text': raw, 'page': page,
+            'ranges': [{{'end': "end", 'page': page, 'revision': revision, 'start': start}}], 'signals': signals, 'title': title}}],
+        'compressed_outline': outline,
+        'context': [{{'end': least(length(markdown), "end" + 200), 'page': page, 'start': 0, 'text': substr(markdown, 1, least(length(markdown), "end" + 200)::INT)}}],
+        'document_hash': document_hash,
+        'evidence': [{{'candidate_id': candidate_id, 'conflicts': []::VARCHAR[], 'label_interpretations': []::VARCHAR[], 'markdown_level': markdown_level, 'numeric_level': NULL, 'possible_parents': list_concat(['root'], anchors),
+            'selected_label': NULL, 'sequence_peers': []::VARCHAR[], 'signals': signals, 'support': []::VARCHAR[]}}],
+        'revision': revision}}) AS VARCHAR) AS tight
+    FROM (SELECT k.*, f.region, p.markdown, p.document_hash, rev.revision,
+            coalesce((SELECT list(node_id ORDER BY ord) FROM sections s WHERE s.doc_id = f.doc_id AND s.page = f.page - 1 AND (depth = 1 OR s.label LIKE '%.2')), []::VARCHAR[]) AS anchors,
+            (SELECT list({{'context_only': s.page = f.page, 'id': node_id, 'label': label, 'parent_id': parent_id, 'title': title}} ORDER BY ord) FROM sections s
+                WHERE s.doc_id = f.doc_id AND ((s.page = f.page - 1 AND (depth = 1 OR s.label LIKE '%.2')) OR (s.page = f.page AND depth = 1))) AS outline
+        FROM found f JOIN c k ON k.doc_id = f.doc_id AND k.candidate_id = f.candidate_id JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page JOIN rev ON rev.doc_id = f.doc_id))"""
+
 _ACCEPT = "(p.table_count = 0 OR contains(p.markdown, '|')) AND p.plain_text <> ''"
 _X = "(p.doc_id + p.page)"
 
@@ -193,19 +234,22 @@ _DECISION_QUERIES = {
     "dependency_regions": (_regions, """SELECT f.doc_id, f.region, f.candidate_id AS candidate_ids, CASE WHEN f.page = 1 THEN '' ELSE (SELECT string_agg(node_id, ',' ORDER BY ord) FROM sections s WHERE s.doc_id = f.doc_id AND s.page = f.page - 1 AND (depth = 1 OR s.label LIKE '%.2')) END AS anchors,
         (SELECT count(*) FROM sections s WHERE s.doc_id = f.doc_id AND ((s.page = f.page - 1 AND (depth = 1 OR s.label LIKE '%.2')) OR (s.page = f.page AND depth = 1))) AS n_outline, 'ISOLATED_AMBIGUITY' AS reason FROM found f"""),
     "region_context": (lambda s, d: decisions.region_context(outline(s, d).regions, outline(s, d).candidates, outline(s, d).pages), """SELECT f.doc_id, f.region, f.page, 0 AS start, least(length(markdown), f."end" + 200)::INT AS "end", substr(markdown, 1, least(length(markdown), f."end" + 200)::INT) AS text FROM found f JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page"""),
-    "region_budget": (lambda s, d: outline(s, d).regions.select("doc_id", "region", (F.length("request") == F.col("actual")).alias("measured"), "budget_status"), "SELECT doc_id, region, true AS measured, 'within_budget' AS budget_status FROM found"),
+    "region_budget": (_measured, _BUDGET),
+    "region_rows": (_region_rows, """SELECT doc_id, region, CAST(page AS VARCHAR) AS pages, 1 AS candidate_count, candidate_id || ':' AS dependencies, 0 AS n_edges, least(length(markdown), "end" + 200)::INT AS context_characters, 'not_needed' AS split_status FROM (SELECT f.*, markdown FROM found f JOIN pages p ON p.doc_id = f.doc_id AND p.page = f.page)"""),
     "validate_responses": (lambda s, d: _replied(s, d)[1].select("doc_id", "region", _flat("errors")), f"SELECT doc_id, region, CASE WHEN doc_id % 4 <> 3 AND doc_id % 5 <> 2 AND doc_id % 3 = 1 THEN 'unknown or duplicate candidate' ELSE '' END AS errors FROM found"),
-    "apply_responses": (lambda s, d: _replied(s, d)[0].select("doc_id", "candidate_id", "role", "status", "origin"), f"SELECT doc_id, candidate_id, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'body' ELSE role END AS role, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'RESOLVED' ELSE status END AS status, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'replay' ELSE 'deterministic' END AS origin FROM d"),
+    "apply_responses": (lambda s, d: _replied(s, d)[0].select("doc_id", "candidate_id", "role", "status", "origin"), f"SELECT doc_id, candidate_id, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'body' ELSE role END AS role, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'RESOLVED' ELSE status END AS status, CASE WHEN kind = 'open' AND {_REPLY} = 'returned' THEN 'fixture_replay' ELSE 'deterministic' END AS origin FROM d"),
     "assemble_hierarchy": (lambda s, d: outline(s, d).nodes.select("doc_id", "node_id", "parent_id", "depth", "label", "title"), "SELECT doc_id, node_id, parent_id, depth, label, title FROM nodes"),
     "section_index": (lambda s, d: outline(s, d).section_index.select("doc_id", "candidate_id", "parent_id"), "SELECT doc_id, node_id AS candidate_id, parent_id FROM sections"),
     "ambiguity_summary": (lambda s, d: decisions.ambiguity_summary(outline(s, d).decided, outline(s, d).regions).select("doc_id", "role_uncertain", "parent_uncertain", "regions", F.array_join(F.col("region_sizes").cast("array<string>"), ",").alias("sizes")), "SELECT doc_id, count(*) FILTER (kind = 'open') AS role_uncertain, count(*) FILTER (kind = 'open') AS parent_uncertain, count(*) FILTER (kind = 'open') AS regions, coalesce(string_agg('1', ',') FILTER (kind = 'open'), '') AS sizes FROM c GROUP BY doc_id"),
     "body_segments": (lambda s, d: outline(s, d).segments.select("doc_id", "page", "start", "end", "status", "text"), 'SELECT doc_id, page, start, "end", status, substr(markdown, start + 1, "end" - start) AS text FROM segments'),
     "segment_owner": (lambda s, d: outline(s, d).segments.select("doc_id", "page", "start", "owner"), "SELECT doc_id, page, start, owner FROM segments"),
     "segment_uncertainty": (lambda s, d: outline(s, d).segments.select("doc_id", "page", "start", _flat("ownership_reasons"), "ownership"), "SELECT doc_id, page, start, CASE WHEN provisional THEN 'AMBIGUOUS_HEADING_BOUNDARY' ELSE '' END AS ownership_reasons, CASE WHEN provisional THEN 'provisional' ELSE 'source_sliced' END AS ownership FROM segments"),
+    "uncertain_boundaries": (_boundaries, """SELECT g.doc_id, g.page, g.start, CAST(count(f.openid) AS INT) AS n_uncertain, coalesce(string_agg(f.openid, ',' ORDER BY f.page, f.start), '') AS boundaries
+        FROM segments g LEFT JOIN segments f ON f.doc_id = g.doc_id AND f.island = g.island AND f.openid IS NOT NULL AND (f.page < g.page OR (f.page = g.page AND f.start <= g.start)) GROUP BY g.doc_id, g.page, g.start"""),
     "page_separators": (lambda s, d: outline(s, d).segments.where("separator_before <> ''").select("doc_id", "page", "start", "owner"), "SELECT doc_id, page, start, owner FROM segments WHERE start = 0 AND page > 1"),
     "scope_events": (lambda s, d: outline(s, d).segments.where("status = 'HEADING'").select("doc_id", "page", "start", F.array_join("scope_path", "/").alias("path"), F.size("closed").alias("n_closed"), F.size("opened").alias("n_opened")), "SELECT doc_id, page, start, CASE depth WHEN 1 THEN 'root/' || node_id ELSE 'root/' || parent_id || '/' || node_id END AS path, CASE WHEN depth = 2 THEN CASE WHEN label LIKE '%.2' THEN 1 ELSE 0 END WHEN page = 1 THEN 0 ELSE 2 END AS n_closed, 1 AS n_opened FROM sections"),
     "own_text": (lambda s, d: outline(s, d).nodes.select("doc_id", "node_id", "text"), "SELECT doc_id, node_id, text FROM nodes"),
-    "body_index": (lambda s, d: outline(s, d).body_index.select("doc_id", "node_id", "source_characters", F.col("export_characters").cast("long").alias("export_characters"), "generated_page_separators", F.size("heading_ranges").alias("headings")), "SELECT doc_id, node_id, length(text) - separators AS source_characters, length(text) AS export_characters, separators AS generated_page_separators, CASE WHEN node_id = 'root' THEN 0 ELSE 1 END AS headings FROM nodes"),
+    "body_index": (lambda s, d: outline(s, d).body_index.select("doc_id", "node_id", "source_characters", F.col("export_characters").cast("long").alias("export_characters"), "generated_page_separators", F.size("heading_ranges").alias("headings"), "verified"), "SELECT doc_id, node_id, length(text) - separators AS source_characters, length(text) AS export_characters, separators AS generated_page_separators, CASE WHEN node_id = 'root' THEN 0 ELSE 1 END AS headings, false AS verified FROM nodes"),
     "source_accounting": (lambda s, d: outline(s, d, False).accounting, "SELECT doc_id, page, length(markdown) AS covered, length(markdown) AS canonical, 0 AS breaks FROM pages", False),
     "validate_spans": (lambda s, d: checks.validate_spans(_tampered(outline(s, d).segments), outline(s, d).pages, outline(s, d).nodes, outline(s, d).revisions).select("doc_id", "reason", "page", "start"), "SELECT doc_id, CASE page % 4 WHEN 0 THEN 'SOURCE_TEXT_MISMATCH' WHEN 1 THEN 'STALE_SOURCE_REVISION' WHEN 2 THEN 'UNKNOWN_BODY_OWNER' ELSE 'INVALID_SOURCE_SPAN' END AS reason, page, start FROM segments WHERE start = 0"),
     "validate_own_text": (lambda s, d: checks.validate_own_text(outline(s, d).segments, outline(s, d).nodes.withColumn("text", F.when(F.col("label").endswith(".1"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))).select("doc_id", "reason", "id"), "SELECT doc_id, 'OWN_TEXT_MISMATCH' AS reason, node_id AS id FROM sections WHERE label LIKE '%.1'"),

@@ -1,10 +1,13 @@
 """The evidence outline on small documents with known outcomes, and its fold, cutting and hierarchy against plain loops."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from outline_jobs.functions import canonical, slices
 from outline_jobs.operators import blocks, body, checks, decisions
 from outline_jobs.plans.evidence_outline import EvidenceOutline
 
@@ -166,7 +169,8 @@ def test_replies(spark):
     q, top = region[0], first.decided.where("role = 'section' and status = 'RESOLVED'").first()["candidate_id"]
     a, b = q["candidate_ids"]
 
-    budget = lambda limit: decisions.region_budget(first.regions.drop("request", "fingerprint", "actual", "budget_status"), first.candidates, first.decided, decisions.region_context(first.regions, first.candidates, first.pages), limit)
+    bare = first.regions.select("doc_id", "region", "region_id", "candidate_ids", "anchors", "outline", "reason", "dependencies", "dependency_edges")
+    budget = lambda limit: first.budget(bare, limit)
     assert budget(q["actual"]).first()["budget_status"] == "within_budget" and budget(q["actual"] - 1).first()["budget_status"] == "oversized"
     with pytest.raises(ValueError):
         budget(0)
@@ -205,3 +209,76 @@ def test_repairs(spark):
     assert out["overrides"].first()["additions"] == 2
     r = out["revisions"].first()
     assert r["revision"] != r["original_revision"]
+
+
+def test_canonical_json(spark):
+    odd = ["plain", 'quote " and \\ back', "tab\tline\nend", "\x0b\x1f\x01\x7f", "\\u000B as text \x0b", "é 目 😀 /", "", None]
+    rows = spark.createDataFrame([(k, x, [x, "b"], k if k % 2 else None) for k, x in enumerate(odd)], "k int, s string, many array<string>, n int")
+    for style in (canonical.COMPACT, canonical.SPACED):
+        q = canonical.quoted
+        one = canonical.object_of({"z": q(F.col("s")), "a": canonical.strings(F.col("many"), style), "n": q(F.col("n"))}, style, {"n": F.col("n").isNotNull()})
+        for r in rows.select("*", one.alias("json")).collect():
+            value = {"z": r["s"], "a": list(r["many"]), **({} if r["n"] is None else {"n": r["n"]})}
+            assert r["json"] == json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(style.comma, style.colon))
+
+
+def test_requests(spark):
+    p = "# 1 Parent\n\n**Open \"section\"**\n\n### 1.1.1 Child\n\nend \x1f é."
+    o = EvidenceOutline(pages(spark, {1: [p]}))
+    c = o.candidates.orderBy("ord").collect()
+    top, a, b = (r["candidate_id"] for r in c)
+    revision = o.revisions.first()["revision"]
+    named = lambda r: {
+        "id": r["candidate_id"], "original_text": r["raw"], "label": r["label"], "title": r["title"], "markdown_level": r["markdown_level"], "page": 1,
+        "ranges": [{"revision": revision, "page": 1, "start": r["start"], "end": r["end"]}], "signals": list(r["signals"]), "label_grammar": r["label_grammar"],
+    }
+    reading = {"family": "numeric", "value": 1, "path": [1, 1, 1], "series": "numeric:bare:[1, 1]"}
+    known = lambda r, **more: {"candidate_id": r["candidate_id"], "signals": list(r["signals"]), "markdown_level": r["markdown_level"], "conflicts": [], "sequence_peers": [], **more}
+    payload = {
+        "candidate_ids": [a, b], "candidates": [named(c[1]), named(c[2])],
+        "evidence": [
+            known(c[1], numeric_level=None, possible_parents=["root", top], support=[], label_interpretations=[], selected_label=None),
+            known(c[2], numeric_level=3, possible_parents=["root", top, a], support=["CONSISTENT_MARKDOWN_NUMBERING"], label_interpretations=[reading], selected_label=reading),
+        ],
+        "anchors": [top], "context": [{"page": 1, "start": 0, "end": len(p), "text": p}],
+        "compressed_outline": [{"id": top, "parent_id": "root", "label": "1", "title": "Parent", "context_only": False}], "document_hash": "h1", "revision": revision,
+    }
+    r = o.regions.first()
+    assert json.loads(r["request"]) == payload
+    assert r["request"] == json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")) and r["actual"] == len(r["request"])
+    assert r["fingerprint"] == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert r["pages"] == [1] and [(x["candidate_id"], x["neighbours"]) for x in r["dependencies"]] == [(a, [b]), (b, [a])]
+    assert [tuple(x) for x in r["dependency_edges"]] == [(b, a, "POSSIBLE_UNRESOLVED_PARENT")]
+    assert tuple(r["coverage"]) == (2, len(p), True, False) and (r["limit"], r["split_status"]) == (decisions.REQUEST_MOST, "not_needed")
+
+
+def test_slices(spark):
+    r = random.Random(5)
+    texts = {1: "".join(r.choices("aé目😀\n ", k=3 * slices.PART + 17)), 2: "", 3: "x" * slices.PART, 4: None}
+    spans = [(1, k, *sorted(r.choices(range(len(texts[k] or "") + 1), k=2)), n) for k in texts for n in range(40)]
+    spans += [(1, 1, 0, len(texts[1]), 40), (1, 1, -1, 4, 41), (1, 1, 5, 4, 42), (1, 1, 5, len(texts[1]) + 1, 43), (1, 9, 0, 1, 44), (None, 1, 0, 1, 45), (1, 1, None, 1, 46)]
+    p = spark.createDataFrame([(1, k, t) for k, t in texts.items()], "doc_id long, page int, markdown string")
+    out = slices.cut(spark.createDataFrame(spans, "doc_id long, page int, start int, end int, n int"), p).collect()
+    assert len(out) == len(spans)
+    for x in out:
+        t = (texts.get(x["page"]) or "") if x["doc_id"] == 1 and x["page"] in texts else None
+        inside = t is not None and x["start"] is not None and 0 <= x["start"] <= x["end"] <= len(t)
+        assert x["cut"] == (t[x["start"] : x["end"]] if inside else None) and x["page_length"] == (None if t is None else len(t))
+
+
+def test_boundaries_of_many_open_candidates(spark):
+    """20,000 open candidates in one document: the segments hold counts, one list is shared; against a loop over the cuts."""
+    n, headings = 20_000, {7_000, 15_000}
+    p = spark.createDataFrame([(1, 1, "x" * (2 * n))], "doc_id long, page int, markdown string")
+    c = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.format_string("c%05d", "id").alias("candidate_id"), F.lit(1).alias("page"), (2 * F.col("id")).cast("int").alias("start"), (2 * F.col("id") + 1).cast("int").alias("end"), F.col("id").isin(*headings).alias("made"))
+    d = c.select("doc_id", "candidate_id", F.when(F.col("made"), "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
+    owned = body.segment_owner(body.body_segments(p, c, d, c.where("made").select("doc_id", F.col("candidate_id").alias("node_id"))))
+    s, islands = body.segment_uncertainty(owned), body.island_boundaries(owned)
+    assert [(r["island"], len(r["boundaries"])) for r in islands.orderBy("island").collect()] == [(0, 7_000), (1, 7_999), (2, 4_999)]
+    open_, at = 0, {}
+    for k in range(n):
+        open_ = 0 if k in headings else open_ + 1
+        at[2 * k] = open_
+    assert {r["start"]: r["n_uncertain"] for r in s.where("start % 2 = 0 and start < 40000").select("start", "n_uncertain").collect()} == at
+    few = body.with_boundaries(s.where("start in (0, 20, 14000, 14008)"), islands).select("start", "uncertain_boundaries").collect()
+    assert {r["start"]: r["uncertain_boundaries"] for r in few} == {0: ["c00000"], 20: [f"c{k:05d}" for k in range(11)], 14000: [], 14008: [f"c{k:05d}" for k in range(7001, 7005)]}
