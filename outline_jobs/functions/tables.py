@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lets a join on doc_id and more keys use rows that lie together by doc_id alone.
+_TOGETHER = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def together(spark: SparkSession) -> Iterator[None]:
+    """Inside, joins on a key and others take their sides as they lie by that key; the session's setting is put back after it."""
+    before = spark.conf.get(_TOGETHER)
+    spark.conf.set(_TOGETHER, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TOGETHER, before)
+
+
+def kept_together(df: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """df as a table of its own whose rows lie together by key, in as many buckets as the session has shuffle partitions.
+
+    What reads it needs no exchange for windows, groups and joins by that key, with or without further keys. The catalog holds the
+    table's name only while its layout is read; the files are those of any stage table.
+    """
+    spark = df.sparkSession
+    path, table = stage_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    with together(spark):
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def once(d: DataFrame, name: str, c: Column) -> DataFrame:
     """d with a column that is computed once for each row, however often it is used and filtered on after that."""
     return d.select("*", F.explode(F.array(c)).alias(name))

@@ -52,16 +52,27 @@ def mark_page_numbers(lines: DataFrame) -> DataFrame:
     return lines.withColumn("noise", F.when(F.col("text").rlike(PAGE_NUMBER), "pageno"))
 
 
+def _header_counts(lines: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """lines with key and _hit: the line, page numbers aside, is on most pages of a document with three pages or more.
+
+    Pages of a key are counted by their rank within it, over rows that lie by doc_id; only the counts of pages are joined, by doc_id.
+    """
+    d = once(lines, "key", F.when(F.col("noise").isNull(), tx.repeat_key(F.col("text"))))
+    same = Window.partitionBy("doc_id", "key")
+    d = d.withColumn("_rank", F.dense_rank().over(same.orderBy("page"))).withColumn("_on", F.max("_rank").over(same))
+    least = F.greatest(F.lit(2), F.floor(F.col("n_pages") * F.lit(HEADER_SHARE)))
+    d = d.join(page_counts, "doc_id", "left")
+    hit = F.col("key").isNotNull() & (F.col("n_pages") >= 3) & (F.col("_on") >= least)
+    return d.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+
+
 def repeated_headers(lines: DataFrame, page_counts: DataFrame) -> DataFrame:
     """doc_id and key of lines found on most pages of documents with three pages or more."""
-    seen = lines.where("noise is null").select("doc_id", tx.repeat_key(F.col("text")).alias("key"), "page").distinct().groupBy("doc_id", "key").count()
-    least = F.greatest(F.lit(2), F.floor(F.col("n_pages") * F.lit(HEADER_SHARE)))
-    return seen.join(page_counts, "doc_id").where((F.col("n_pages") >= 3) & (F.col("count") >= least)).select("doc_id", "key")
+    return _header_counts(lines, page_counts).where("_hit").select("doc_id", "key").distinct()
 
 
 def mark_repeated_headers(lines: DataFrame, page_counts: DataFrame) -> DataFrame:
-    found = repeated_headers(lines, page_counts).withColumn("_hit", F.lit(True))
-    out = lines.withColumn("key", tx.repeat_key(F.col("text"))).join(found, ["doc_id", "key"], "left")
+    out = _header_counts(lines, page_counts)
     return out.withColumn("noise", F.coalesce("noise", F.when(F.col("_hit"), "header"))).select(*lines.columns)
 
 
@@ -147,9 +158,11 @@ def pick_title(lines: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
     same = (F.col("_c.line_idx") == F.col("_l.line_idx")) & (F.col("_c.label") == "")
     docs = lines.select("doc_id").distinct().join(first, "doc_id", "left").join(head, "doc_id", "left")
     titles = docs.select("doc_id", F.when(same, F.col("_c.text")).otherwise(tx.strip_markdown(F.col("_l.text"))).alias("title"), F.when(same, F.col("_l.line_idx")).alias("title_line"))
-    taken = titles.where("title_line is not null").select("doc_id", F.col("title_line").alias("line_idx"))
-    marked = lines.join(taken.withColumn("_t", F.lit(True)), ["doc_id", "line_idx"], "left").withColumn("noise", F.when(F.col("_t"), "title").otherwise(F.col("noise"))).select(*lines.columns)
-    return titles, marked, candidates.join(taken, ["doc_id", "line_idx"], "left_anti").select(*candidates.columns)
+    # One row for each document: joined by doc_id alone, so that lines and candidates stay where they lie.
+    taken = titles.select("doc_id", F.col("title_line").alias("_t"))
+    is_title = F.coalesce(F.col("line_idx") == F.col("_t"), F.lit(False))
+    marked = lines.join(taken, "doc_id", "left").withColumn("noise", F.when(is_title, "title").otherwise(F.col("noise"))).select(*lines.columns)
+    return titles, marked, candidates.join(taken, "doc_id", "left").where(~is_title).select(*candidates.columns)
 
 
 def line_parents(headings: DataFrame) -> DataFrame:

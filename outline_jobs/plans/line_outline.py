@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outline_jobs.functions.tables import written
+from outline_jobs.functions.tables import kept_together
 from outline_jobs.operators import lines as op
 
 
@@ -24,7 +24,8 @@ class LineOutline:
 
     @cached_property
     def page_text(self) -> DataFrame:
-        return op.merge_page_text(self.pages, self.ocr)
+        """The only exchange by document: all later stages read tables that lie by doc_id."""
+        return kept_together(op.merge_page_text(self.pages, self.ocr), "line-pages")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -32,16 +33,16 @@ class LineOutline:
 
     @cached_property
     def noise(self) -> DataFrame:
-        counts = self.pages.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
-        return written(op.mark_noise(self.lines, counts), "line-noise")
+        counts = self.page_text.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
+        return kept_together(op.mark_noise(self.lines, counts), "line-noise")
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return written(op.find_line_candidates(self.noise), "line-candidates")
+        return kept_together(op.find_line_candidates(self.noise), "line-candidates")
 
     @cached_property
     def levels(self) -> DataFrame:
-        return written(op.clamp_level_jumps(op.resolve_line_levels(self.candidates, self.decisions)), "line-levels")
+        return kept_together(op.clamp_level_jumps(op.resolve_line_levels(self.candidates, self.decisions)), "line-levels")
 
     @cached_property
     def _picked(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,7 +54,7 @@ class LineOutline:
 
     @cached_property
     def headings(self) -> DataFrame:
-        return written(op.line_node_ids(op.line_parents(self._picked[2])), "line-headings")
+        return kept_together(op.line_node_ids(op.line_parents(self._picked[2])), "line-headings")
 
     @cached_property
     def owned(self) -> DataFrame:
@@ -61,13 +62,13 @@ class LineOutline:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return op.assemble_line_nodes(self.owned, self.headings, self.titles)
+        return kept_together(op.assemble_line_nodes(self.owned, self.headings, self.titles), "line-nodes")
 
     @cached_property
     def flags(self) -> DataFrame:
-        return op.line_flags(written(self.nodes, "line-nodes"))
+        return op.line_flags(self.nodes)
 
     @cached_property
     def errors(self) -> DataFrame:
         """Documents without any line."""
-        return self.pages.select("doc_id").distinct().join(self.lines.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("error", F.lit("no text"))
+        return self.page_text.select("doc_id").distinct().join(self.lines.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("error", F.lit("no text"))

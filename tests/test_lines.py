@@ -90,3 +90,31 @@ def test_stats_of_real_ids_and_depths(spark):
     assert len(ids) - len(set(ids)) == s["duplicate_ids"] == 1 and s["depth_issues"] == 0 and s["total_nodes"] == len(ids)
     wrong = nodes.withColumn("depth", F.when(F.col("label") == "2", 4).otherwise(F.col("depth")))
     assert trees.tree_stats(tree_queries.with_true_depth(wrong)).first()["depth_issues"] == 1
+
+
+def test_stages_lie_by_document(spark):
+    """After the pages are kept, no stage up to the headings exchanges rows by key, even where Spark may not broadcast a side."""
+    from pyspark.sql import functions as F
+
+    from outline_jobs.functions.tables import together
+    from outline_jobs.operators import lines as op
+    from outline_jobs.plans import corpus
+    from outline_jobs.plans.line_outline import LineOutline
+
+    c = corpus.corpus(spark, "/root/testdata/sf0.001")
+    o = LineOutline(c["pages"], c["ocr"])
+    counts = o.page_text.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
+    plans = {
+        "noise": op.mark_noise(o.lines, counts), "candidates": op.find_line_candidates(o.noise), "levels": op.clamp_level_jumps(op.resolve_line_levels(o.candidates)),
+        "headings": op.line_node_ids(op.line_parents(op.pick_title(o.noise, o.levels)[2])), "owned": op.assign_lines(o.noise, o.headings),
+    }
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with together(spark):
+            found = {k: d._jdf.queryExecution().executedPlan().toString().count("Exchange") for k, d in plans.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert found == dict.fromkeys(plans, 0)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
