@@ -4,12 +4,12 @@ Documents are range-partitioned by doc_id and sorted, so that files in the order
 A shard of SHARD_TOKENS ids or more repeatedly replaces frequent neighbouring ids by a new symbol: first within distinct words weighted by how
 often each occurs, which are as good as the sequence itself for pairs that lie inside words, then over the whole sequence, each until no pair occurs twice. No pair
 includes the end id, so every document is a run of whole symbols. The file keeps the rules, each symbol's expansion length, and the
-documents' places, so that any ids of any document are decoded without expanding the rest.
+documents' places, so that any ids of any document are decoded by descent: only rules on the way to them are looked at.
 
 The tokenizer drops white space and cuts at it, so distinct words are encoded once per worker and looked up after that; cutting and looking up are Arrow's.
 
 Defined cases. Null is the empty text: the end id alone. Rows with one doc_id are ordered by text and each written. A null doc_id sorts
-first. Empty tables give no files and empty results. Extra columns are left out.
+first. Rows of one doc_id, or without any, are dealt to tasks by the beginning of their texts (PREFIX code points) too. Empty tables give no files and empty results. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from outline_jobs.llm.common import batches_of, put, released, shared_dir, table
 MAGIC = b"RPR2"
 #: Ids of a shard, at least, but for the last of a task; bytes of the table of words that a worker keeps; words encoded as one text; bytes of texts cut at once.
 SHARD_TOKENS, WORD_BYTES, LINE, TEXT_BYTES = 1_000_000, 32 << 20, 200, 4 << 20
+#: Code points of a text by which rows of one doc_id are dealt to tasks.
+PREFIX = 64
 #: The only floor: occurrences of a pair without which it gets no rule, in both phases. Two are as few as can repeat, so nothing that repeats is left.
 LEAST = 2
 END = 2
@@ -299,6 +301,7 @@ class Shard:
         self.symbols = raw.view("<u4")[:, 0].astype(np.int64)
         self.first = np.cumsum(self.n_symbols) - self.n_symbols
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        self.rules_read = 0
 
     def _flatten(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rules one after the other, where each begins): rules by rising depth, as each copies what its two symbols stand for."""
@@ -324,7 +327,7 @@ class Shard:
         return flat, begin
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for."""
+        """The ids that symbols stand for, for reading a whole file: all its rules are expanded once."""
         if not len(self.rules):
             return symbols
         self._flat = self._flat or self._flatten()
@@ -340,13 +343,34 @@ class Shard:
         return out
 
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids start to stop of the doc-th document, expanding only the symbols that hold them."""
+        """Ids start to stop of the doc-th document: symbols before them are skipped by their lengths, and so are sides of rules on the way down."""
         own = self.symbols[self.first[doc] : self.first[doc] + self.n_symbols[doc]]
         stop = int(self.n_ids[doc]) if stop is None else min(stop, int(self.n_ids[doc]))
+        if start >= stop:
+            return np.empty(0, np.int64)
         n = np.where(own >= self.first_rule, self.lengths[np.maximum(own - self.first_rule, 0)], 1) if len(self.rules) else np.ones(len(own), np.int64)
         edge = np.concatenate(([0], np.cumsum(n)))
-        a, b = np.searchsorted(edge, start, "right") - 1, np.searchsorted(edge, stop, "left")
-        return self.expand(own[a:b])[start - edge[a] : stop - edge[a]] if start < stop else np.empty(0, np.int64)
+        a = int(np.searchsorted(edge, start, "right")) - 1
+        return self._descended(own[a:], start - int(edge[a]), stop - start)
+
+    def _descended(self, symbols: np.ndarray, skip: int, count: int) -> np.ndarray:
+        """count ids of what symbols stand for, after the first skip; rules_read counts the rules opened."""
+        out, todo, at = np.empty(count, np.int64), [], 0
+        rest = iter(symbols.tolist())
+        while at < count:
+            symbol = todo.pop() if todo else next(rest)
+            rule = symbol - self.first_rule
+            length = int(self.lengths[rule]) if rule >= 0 else 1
+            if length <= skip:
+                skip -= length
+            elif rule < 0:
+                out[at] = symbol
+                at += 1
+            else:
+                self.rules_read += 1
+                left, right = self.rules[rule].tolist()
+                todo += (right, left)
+        return out
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -358,7 +382,8 @@ def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the shards and returns their list: part, shard, file, first_id, n_docs, n_tokens."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange("doc_id", F.left("text", F.lit(PREFIX))).sortWithinPartitions("doc_id", "text")
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

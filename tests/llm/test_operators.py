@@ -489,3 +489,38 @@ def test_warc_of_null_keys(spark):
     got = Counter((x["page_id"], x["record_type"], x["refers_to"], x["payload_bytes"]) for x in warc.read_archives(spark, folder).collect())
     assert got == Counter([(3, "response", None, 4), (7, "revisit", 3, 4), (None, "revisit", 3, 4), (None, "response", None, 5)])
     assert warc.write_archives(spark.createDataFrame([], kind), shared_dir(spark, "warc")).count() == 0
+
+
+def test_ids_by_descent():
+    """One id of a file opens the rules above it and no others; every stretch equals the whole; rules nest as deep as the texts repeat."""
+    r = random.Random(11)
+    size, unit = 10, [r.randrange(10) for _ in range(8)]
+    rules, top = [(unit[0], unit[1])], size
+    for _ in range(15):  # each rule twice the one before
+        rules.append((top, top))
+        top += 1
+    rules = np.array(rules, np.int64)
+    for _ in range(300):  # and many that no document uses
+        rules = np.vstack([rules, [[r.randrange(size + len(rules)), r.randrange(size + len(rules))]]])
+        if repair.expansion_lengths(rules, size)[-1] > 1 << 20:
+            rules = rules[:-1]
+    shard = repair.Shard(repair.packed(np.array([top, unit[2], top, 2]), rules, size, [5], np.array([4]), np.array([(1 << 17) + 2])))
+    whole = unit[:2] * (1 << 15) + [unit[2]] + unit[:2] * (1 << 15) + [2]
+    assert shard.ids(0).tolist() == whole and shard.expand(shard.symbols).tolist() == whole
+    for start in [0, 1, 65535, 65536, 65537, 131072, 131073, *(r.randrange(len(whole)) for _ in range(200))]:
+        shard.rules_read = 0
+        assert shard.ids(0, start, start + 1).tolist() == whole[start : start + 1] and shard.rules_read <= 16
+    for _ in range(50):
+        a, b = sorted(r.choices(range(len(whole) + 5), k=2))
+        b = min(b, a + 500)
+        shard.rules_read = 0
+        assert shard.ids(0, a, b).tolist() == whole[a:b] and shard.rules_read <= 2 * 16 + (b - a)
+
+
+def test_rows_without_id_are_dealt_by_text(spark):
+    """A third of the rows have no id: no range holds more than a share of them, and the order of the files stays that of id and text."""
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.sha1(F.col("id").cast("string")), F.lit(" word")).alias("text"))
+    rows = docs.repartitionByRange(8, "doc_id", F.left("text", F.lit(repair.PREFIX))).withColumn("part", F.spark_partition_id())
+    assert max(r["count"] for r in rows.groupBy("part").count().collect()) < 6000 / 8 * 1.5
+    out = repair.encoded(docs, repair.tokenizer_path()).join(docs.select("doc_id", "text"), "doc_id").orderBy("start").select("doc_id").collect()
+    assert [r["doc_id"] for r in out] == [k for k in range(6000) if k % 3]
