@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outline_jobs.llm.common import WORD_BYTE, apart, table, word_hashes
+from outline_jobs.llm.common import WORD_BYTE, apart, released, table, word_hashes
 
 SAMPLE, RANK, WORD_BITS, STEPS = 8000, 8, 16, 12
 UPDATES, BATCH, RATE, DECAY, SEED = 450, 128, 0.15, 1e-6, 5
@@ -127,11 +127,15 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [features(t, r) for t, r in zip(b["text"], b["n_chars"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["_label"], "place": [p for p, _ in x], "value": [v for _, v in x]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["_label"], "place": [p.tobytes() for p, _ in x], "value": [v.tobytes() for _, v in x]})
 
-    rows = docs.select("doc_id", "text", measured(docs).alias("n_chars")).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, place array<int>, value array<float>").toPandas()
+    # As bytes, of which the driver reads the numbers where they lie: as arrays each number becomes an object of its own on the way.
+    rows = docs.select("doc_id", "text", measured(docs).alias("n_chars")).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, place binary, value binary").toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
-    return fit([(np.asarray(p, np.int32), np.asarray(v, np.float32)) for p, v in zip(rows["place"], rows["value"])], rows["label"].to_numpy(float))
+    machine = fit([(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for p, v in zip(rows["place"], rows["value"])], rows["label"].to_numpy(float))
+    del rows
+    released()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
